@@ -63,7 +63,9 @@ def stratified_interleave(
         )
     )
     within = W.partitionBy("stratum", "part").orderBy("key", "doc_id", "text_crc32", "size")
-    ranked = slim.withColumn("at", F.row_number().over(within)).join(before, ["stratum", "part"])
+    # Dealt by both keys: a join on the source alone would leave a hot source in one task.
+    dealt = slim.repartition("stratum", "part")
+    ranked = dealt.withColumn("at", F.row_number().over(within)).join(before, ["stratum", "part"])
     ranked = ranked.withColumn("source_rank", F.col("before") + F.col("at") - 1)
     ranked = ranked.withColumn("fraction", (F.col("source_rank") + 0.5) / F.col("source_rows"))
     ranked = materialize(ranked.select("doc_id", "stratum", "size", "text_crc32", "source_rank", "source_rows", "fraction"), "interleave")

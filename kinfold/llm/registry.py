@@ -2,15 +2,29 @@
 
 from __future__ import annotations
 
-from kinfold.llm import common, interleave
+from kinfold.llm import decisionlist, gam, interleave, toxicity
+from kinfold.llm.common import table
 
 
 def op2_stratified_interleave(spark, sf_dir):
-    return interleave.stratified_interleave(common.table(spark, sf_dir, "documents"))
+    return interleave.stratified_interleave(table(spark, sf_dir, "documents"))
+
+
+def op7_lexicon_toxicity(spark, sf_dir):
+    return toxicity.toxicity_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op8_additive_quality(spark, sf_dir):
+    return gam.quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op10_decision_list(spark, sf_dir):
+    return decisionlist.quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_stratified_interleave,)}
+    found = (op2_stratified_interleave, op7_lexicon_toxicity, op8_additive_quality, op10_decision_list)
+    return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
