@@ -107,13 +107,14 @@ def labelled(docs: DataFrame, labels: DataFrame, label: str, mod: int, remainder
     """(doc_id, text, label) of ``at_most`` labelled rows outside the held-out fold, in hash order.
 
     The bound is on what is learned from, never on what is scored. A label given twice
-    counts once (the larger); null labels are left out.
+    counts once (the larger), and so does an id (its smallest text); null labels are left out.
     """
     picked = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("label"))
     picked = picked.filter(F.col("label").isNotNull() & ~held_out(F.col("doc_id"), mod, remainder))
     order = F.md5(F.col("doc_id").cast("string").cast("binary"))
     picked = picked.groupBy("doc_id").agg(F.max("label").alias("label")).orderBy(order, "doc_id").limit(at_most)
-    return texts(docs).join(F.broadcast(picked), "doc_id").limit(at_most)
+    found = texts(docs).join(F.broadcast(picked), "doc_id")
+    return found.groupBy("doc_id").agg(F.min("text").alias("text"), F.max("label").alias("label"))
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, label: str, mod: int, remainder: int, at_most: int) -> pd.DataFrame:

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kinfold.llm import gam
-from kinfold.llm.common import bounded_batches, held_out, texts
+from kinfold.llm.common import bounded_batches, held_out, materialize, texts
 from kinfold.llm.textstats import labelled
 
 MAX_LABELLED = 20_000
@@ -173,39 +173,51 @@ class Lexicon:
         return (float(len(hits)), near, stems, score, float(dense), quoted / len(hits), addressed / len(hits), math.log1p(n), 100 * len(hits) / n)
 
 
-def _terms_of(batches):
-    """Per task: in how many label-1 and label-0 documents a word, or a stem of one, stands."""
-    seen: dict[int, Counter] = {0: Counter(), 1: Counter()}
-    for batch in batches:
-        for text, label in zip(batch.column("text").to_pylist(), batch.column("label").to_pylist()):
-            found = {w.strip(EDGE) for w in text.lower().split()}
-            found = {w for w in found if len(w) >= 4 and w.isalpha()}
-            seen[int(label > 0)].update({(w, 0) for w in found} | {(w[:k], 1) for w in found for k in (4, 5, 6) if len(w) > k})
-    keys = list(seen[0].keys() | seen[1].keys())
-    for k in range(0, len(keys), 50_000):
-        part = keys[k : k + 50_000]
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([t for t, _ in part]), pa.array([s for _, s in part], pa.int32()), pa.array([seen[1][x] for x in part], pa.int64()), pa.array([seen[0][x] for x in part], pa.int64())],
-            ["term", "stem", "toxic", "clean"],
-        )
-
-
-def learned_terms(sample: DataFrame, most: int = 2000, least: int = 4) -> tuple[list[str], list[str]]:
-    """Words and stems that stand in label-1 rows nearly alone; at most ``most`` of them."""
+def term_counter(among: frozenset | None):
+    """Per task: in how many documents a word, or a stem of one, stands; of ``among`` if given."""
+
+    def run(batches):
+        seen: Counter = Counter()
+        for batch in batches:
+            for text in batch.column("text").to_pylist():
+                words = {w.strip(EDGE) for w in text.lower().split()}
+                words = {w for w in words if len(w) >= 4 and w.isalpha()}
+                found = {(w, 0) for w in words} | {(w[:k], k) for w in words for k in (4, 5, 6) if len(w) > k}
+                seen.update(found if among is None else found & among)
+        keys = list(seen)
+        for at in range(0, len(keys), 50_000):
+            part = keys[at : at + 50_000]
+            columns = [pa.array([t for t, _ in part]), pa.array([k for _, k in part], pa.int32()), pa.array([seen[x] for x in part], pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, ["term", "stem", "n"])
+
+    return run
+
+
+def term_counts(rows: DataFrame, among: frozenset | None = None) -> DataFrame:
+    counted = rows.select("text").mapInArrow(term_counter(among), "term string, stem int, n long")
+    return counted.groupBy("term", "stem").agg(F.sum("n").alias("n"))
+
+
+def learned_terms(sample: DataFrame, most: int = 20_000, least: int = 4, share: float = 0.04) -> tuple[list[str], list[str]]:
+    """Words and stems that stand in at least ``share`` of the label-1 rows and nearly nowhere else.
+
+    The share keeps out words that only a group of copies has. A stem stands for the
+    words that begin with it where none of them alone is nearly as frequent.
+    """
     bounded_batches(sample.sparkSession)
-    counted = sample.mapInArrow(_terms_of, "term string, stem int, toxic long, clean long")
-    counted = counted.groupBy("term", "stem").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
-    strong = counted.filter((F.col("toxic") >= least) & (F.col("toxic") >= 19 * F.col("clean")))
-    rows = strong.orderBy(F.desc("toxic"), "term", "stem").limit(most).collect()
-    total = sample.agg(F.sum((F.col("label") > 0).cast("long"))).first()[0] or 0
-    floor = max(least, total // 150)
-    kept = [r for r in rows if r.toxic >= floor]
-    words = {r.term: r.toxic for r in kept if not r.stem}
+    total = sample.filter("label > 0").count()
+    floor = max(least, math.ceil(share * total))
+    toxic = term_counts(sample.filter("label > 0")).filter(F.col("n") >= floor)
+    found = {(r.term, r.stem): r.n for r in toxic.orderBy(F.desc("n"), "term", "stem").limit(most).collect()}
+    clean = {(r.term, r.stem): r.n for r in term_counts(sample.filter("label = 0"), frozenset(found)).collect()}
+    found = {k: n for k, n in found.items() if n >= 19 * clean.get(k, 0)}
+    words = {t: n for (t, k), n in found.items() if k == 0}
     stems: list[str] = []
-    for r in sorted((r for r in kept if r.stem), key=lambda r: (len(r.term), r.term)):
-        same = max((n for w, n in words.items() if w.startswith(r.term)), default=0)
-        if same < 0.8 * r.toxic and not any(r.term.startswith(s) for s in stems):
-            stems.append(r.term)
+    for (term, k), n in sorted(found.items(), key=lambda x: (x[0][1], x[0][0])):
+        if k and not any(term.startswith(s) for s in stems):
+            if max((m for w, m in words.items() if w.startswith(term)), default=0) < 0.8 * n:
+                longer = [(j, t) for (t, j), m in found.items() if j > k and t.startswith(term) and m >= 0.95 * n]
+                stems.append(max(longer)[1] if longer else term)
     return sorted(w for w in words if not any(w.startswith(s) for s in stems)), stems
 
 
@@ -239,7 +251,7 @@ def scorer(model: gam.Additive):
 
 def toxicity_scores(docs: DataFrame, labels: DataFrame, label: str = "toxic", mod: int = 5, remainder: int = 0, max_labelled: int = MAX_LABELLED) -> DataFrame:
     """doc_id, held_out, score, predicted, n_hits for every row of ``docs``."""
-    sample = labelled(docs, labels, label, mod, remainder, max_labelled)
+    sample = materialize(labelled(docs, labels, label, mod, remainder, max_labelled), "toxicity")
     words, stems = learned_terms(sample)
     terms = sorted({*TERMS, *words})
     rows = hit_features(sample, terms, stems).toPandas().sort_values(["doc_id", *FEATURES])
