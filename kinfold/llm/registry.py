@@ -2,14 +2,24 @@
 
 from __future__ import annotations
 
-from kinfold.llm import decisionlist, gam, interleave, toxicity
+import public_tokenizers
+
+from kinfold.llm import bitplanes, chunkreuse, decisionlist, gam, interleave, posindex, toxicity
 from kinfold.llm.common import table
 
 
+def op1_bit_planes(spark, sf_dir):
+    return bitplanes.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 def op2_stratified_interleave(spark, sf_dir):
     return interleave.stratified_interleave(table(spark, sf_dir, "documents"))
 
 
+def op3_chunk_reuse(spark, sf_dir):
+    return chunkreuse.encode_decode(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def op7_lexicon_toxicity(spark, sf_dir):
     return toxicity.toxicity_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -18,14 +28,26 @@ def op8_additive_quality(spark, sf_dir):
     return gam.quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op9_positional_index(spark, sf_dir):
+    return posindex.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op10_decision_list(spark, sf_dir):
     return decisionlist.quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 def queries() -> dict:
-    found = (op2_stratified_interleave, op7_lexicon_toxicity, op8_additive_quality, op10_decision_list)
+    found = (
+        op1_bit_planes,
+        op2_stratified_interleave,
+        op3_chunk_reuse,
+        op7_lexicon_toxicity,
+        op8_additive_quality,
+        op9_positional_index,
+        op10_decision_list,
+    )
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_stratified_interleave": interleave.SQL}
+    return {"op2_stratified_interleave": interleave.SQL, "op9_positional_index": posindex.SQL}
