@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from kinfold.llm import bitplanes, chunkreuse, decisionlist, gam, interleave, posindex, toxicity
+from kinfold.llm import bitplanes, chunkreuse, decisionlist, gam, interleave, posindex, skipchain, toxicity
 from kinfold.llm.common import table
 
 
@@ -20,6 +20,10 @@ def op3_chunk_reuse(spark, sf_dir):
     return chunkreuse.encode_decode(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op4_skip_chain(spark, sf_dir):
+    return skipchain.personal_data(table(spark, sf_dir, "documents"))
+
+
 def op7_lexicon_toxicity(spark, sf_dir):
     return toxicity.toxicity_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -41,6 +45,7 @@ def queries() -> dict:
         op1_bit_planes,
         op2_stratified_interleave,
         op3_chunk_reuse,
+        op4_skip_chain,
         op7_lexicon_toxicity,
         op8_additive_quality,
         op9_positional_index,
