@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from kinfold.llm import bitplanes, chunkreuse, decisionlist, gam, interleave, posindex, skipchain, toxicity
+from kinfold.llm import bitplanes, chunkreuse, decisionlist, gam, interleave, ngramjoin, posindex, skipchain, toxicity
 from kinfold.llm.common import table
 
 
@@ -24,6 +24,10 @@ def op4_skip_chain(spark, sf_dir):
     return skipchain.personal_data(table(spark, sf_dir, "documents"))
 
 
+def op6_prefix_tree_join(spark, sf_dir):
+    return ngramjoin.jaccard_classes(table(spark, sf_dir, "documents"))
+
+
 def op7_lexicon_toxicity(spark, sf_dir):
     return toxicity.toxicity_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -46,6 +50,7 @@ def queries() -> dict:
         op2_stratified_interleave,
         op3_chunk_reuse,
         op4_skip_chain,
+        op6_prefix_tree_join,
         op7_lexicon_toxicity,
         op8_additive_quality,
         op9_positional_index,
@@ -55,4 +60,8 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_stratified_interleave": interleave.SQL, "op9_positional_index": posindex.SQL}
+    return {
+        "op2_stratified_interleave": interleave.SQL,
+        "op6_prefix_tree_join": ngramjoin.SQL,
+        "op9_positional_index": posindex.SQL,
+    }
