@@ -6,6 +6,7 @@ Intermediate tables are written to the shared folder the session names in
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -72,3 +73,9 @@ def running_offsets(counts: DataFrame, keys: list[str], order: str, n: str, span
     inner = spans.withColumn("_in", F.coalesce(F.sum(n).over(low), F.lit(0)))
     joined = inner.join(heads, [*keys, "_span"])
     return joined.select(*keys, order, (F.col("_base") + F.col("_in")).alias("before"))
+
+
+def release(spark: SparkSession) -> None:
+    """Let Spark drop shuffle files of finished phases: it does so when the driver collects its garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from kinfold.llm import bitplanes, chunkreuse, decisionlist, gam, interleave, ngramjoin, posindex, skipchain, toxicity
+from kinfold.llm import bitplanes, chunkreuse, decisionlist, gam, interleave, ngramjoin, posindex, skipchain, suffixes, toxicity
 from kinfold.llm.common import table
 
 
@@ -24,6 +24,10 @@ def op4_skip_chain(spark, sf_dir):
     return skipchain.personal_data(table(spark, sf_dir, "documents"))
 
 
+def op5_suffix_dedup(spark, sf_dir):
+    return suffixes.remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def op6_prefix_tree_join(spark, sf_dir):
     return ngramjoin.jaccard_classes(table(spark, sf_dir, "documents"))
 
@@ -50,6 +54,7 @@ def queries() -> dict:
         op2_stratified_interleave,
         op3_chunk_reuse,
         op4_skip_chain,
+        op5_suffix_dedup,
         op6_prefix_tree_join,
         op7_lexicon_toxicity,
         op8_additive_quality,
