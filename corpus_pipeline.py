@@ -1,7 +1,71 @@
-"""Placeholder until the stages exist."""
-STAGES = []
+"""The corpus pipeline: five stages, each a table of documents to a table of documents.
+
+toxicity (rejected documents go), near duplicates (one document of each class stays),
+benchmark decontamination (contaminated documents go), personal data (replaced by its
+kind in the text), BPE (adds the ids). All stages but the last return the columns of
+``documents``.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from kinfold.llm import chunkreuse, ngramjoin, posindex, skipchain, toxicity
+from kinfold.llm.common import materialize, table
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the toxicity model does not predict as toxic; a row's id decides."""
+    scored = toxicity.toxicity_scores(docs, table(spark, sf_dir, "labels"))
+    rejected = scored.filter("predicted = 1").select(F.col("doc_id").alias("_id")).distinct()
+    return docs.join(rejected, docs["doc_id"].eqNullSafe(rejected["_id"]), "left_anti")
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The smallest document of each class of near duplicates: five words, a similarity of 0.8."""
+    classes = ngramjoin.jaccard_classes(docs, n=5, percent=80)
+    later = classes.filter(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_id")).distinct()
+    return docs.join(later, docs["doc_id"].eqNullSafe(later["_id"]), "left_anti")
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents of which under a twentieth of the words stand in windows of benchmark items."""
+    found = posindex.contamination(docs, table(spark, sf_dir, "benchmark"))
+    hit = found.filter("contaminated").select(F.col("doc_id").alias("_id")).distinct()
+    return docs.join(hit, docs["doc_id"].eqNullSafe(hit["_id"]), "left_anti")
+
+
+def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, with personal data replaced and ``n_chars`` counted again."""
+    masked = skipchain.redact(docs)
+    return masked.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(docs.columns)
+
+
+def encode_text(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id and the ids of its text."""
+    return chunkreuse.encode_ids(docs, public_tokenizers.path("byte_bpe_50k.json"))
+
+
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("toxicity", drop_toxic),
+    ("near_duplicates", drop_near_duplicates),
+    ("decontamination", drop_contaminated),
+    ("personal_data", mask_personal_data),
+    ("bpe", encode_text),
+]
+
+#: The learned stages cannot be said in SQL; tests hold each stage against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for k, (name, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if k < len(STAGES) - 1:
+            docs = materialize(docs, name)
+    return docs
