@@ -3,9 +3,10 @@
 1. Equal sets meet first: a set's digest is its class, so copies cost one row each.
 2. A global order puts n-grams that a count sketch over all documents shows to be
    frequent last, and the rest by hash. Two sets that reach the threshold share an
-   n-gram among the first ``n - ceil(threshold * n) + 1`` of each. These prefixes meet
-   by n-gram; runs of sizes too far apart to link are told apart, and n-grams that no
-   two sets share there are gone.
+   n-gram among the first ``n - ceil(threshold * n) + 1`` of each, and ``k`` of them among
+   the first ``k - 1`` more. These prefixes meet by n-gram; runs of sizes too far apart to
+   link are told apart, and n-grams that no two sets share there are gone, as are sets
+   with fewer than ``k`` left, ``k`` being a tenth of the smallest size that may link.
 3. Each remaining run gathers at its smallest class. There the whole sets form a prefix
    tree, ordered by frequency within the group so that near copies share long paths.
    Each set walks the tree, sharing the overlap counted so far, and leaves a subtree when
@@ -32,11 +33,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from kinfold.llm.common import bounded_batches, materialize, texts
+from kinfold.llm.common import bounded_batches, materialize, release, texts
 
 SKETCH_BITS = 20
 SKETCH_ROWS = 256
 GROUP_ROWS = 2000
+SLACK = 10  # longer prefixes by a tenth of the set
 FOLD = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 _WORDS: dict[bytes, int] = {}
 MEMO = 300_000
@@ -105,6 +107,11 @@ def frequency_levels(rows: DataFrame, n: int) -> np.ndarray:
     return np.floor(np.log2(np.maximum(1.0, counts / (2 * counts.mean() + 8)))).astype(np.uint8)
 
 
+def core(size: int, percent: int) -> int:
+    """Length of the prefix in which linked sets share an n-gram."""
+    return size - (percent * size + 99) // 100 + 1
+
+
 def _prefixes(n: int, percent: int, levels: np.ndarray):
     kinds = [pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64())]
 
@@ -117,9 +124,8 @@ def _prefixes(n: int, percent: int, levels: np.ndarray):
                 if not size:
                     rows.append((0, None, []))
                     continue
-                head = size - (percent * size + 99) // 100 + 1
                 level = levels[grams >> np.uint64(64 - SKETCH_BITS)]
-                first = grams[np.argsort(level, kind="stable")[:head]]
+                first = grams[np.argsort(level, kind="stable")[: core(size, percent) + size // SLACK]]
                 rows.append((size, digest(grams), first.view(np.int64)))
             columns = list(zip(*rows)) or [()] * 3
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(c, t) for c, t in zip(columns, kinds[1:]))], ["doc_id", "n_shingles", "class", "prefix"])
@@ -128,11 +134,21 @@ def _prefixes(n: int, percent: int, levels: np.ndarray):
 
 
 def _sets(n: int):
+    """(hub, i, j, class, grams): a chosen document's set for each group that wants it."""
+    names = ["hub", "i", "j", "class", "grams"]
+    kinds = [pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.list_(pa.int64())]
+
     def run(batches):
         for batch in batches:
-            sets = [ngrams(t, n) for t in batch.column("text").to_pylist()]
-            names = pa.array([digest(s) for s in sets], pa.binary())
-            yield pa.RecordBatch.from_arrays([names, pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], ["class", "grams"])
+            for row in batch.select(["text", "class", "places"]).to_pylist():
+                grams = ngrams(row["text"], n)
+                if digest(grams) != row["class"]:
+                    continue  # another text of the same id
+                for at in range(0, len(row["places"]), 64):
+                    part = row["places"][at : at + 64]
+                    body = pa.array([grams.view(np.int64)] * len(part), kinds[4])
+                    keys = [pa.array([p[c] for p in part], t) for c, t in zip(names[:3], kinds)]
+                    yield pa.RecordBatch.from_arrays([*keys, pa.array([row["class"]] * len(part), kinds[3]), body], names)
 
     return run
 
@@ -248,9 +264,38 @@ def components(links: DataFrame, tag: str = "stars") -> DataFrame:
             return edges.select(F.col("b").alias("node"), F.col("a").alias("root"))
 
 
+def short(name: str):
+    """64 bits of a class, to gather by; classes that share them only meet needlessly."""
+    return F.conv(F.substring(F.hex(name), 1, 15), 16, 10).cast("long")
+
+
+def group_members(heads: DataFrame, one: DataFrame, percent: int) -> DataFrame:
+    """(hub, cid): the groups in which each class's set must be compared."""
+    chosen = heads.join(one.select("class", "first_id"), "class").filter("doc_id <=> first_id")
+    head = F.expr(f"n_shingles - ({percent} * n_shingles + 99) div 100 + 1")
+    grams = chosen.select(short("class").alias("cid"), F.col("n_shingles").cast("int").alias("size"), head.alias("head"), F.posexplode("prefix").alias("at", "gram"))
+    grams = grams.select("gram", "cid", "size", (F.col("at") < F.col("head")).alias("core"))
+
+    # Sizes run up within a gram; a gap that no link can cross starts a new run.
+    by_size = W.partitionBy("gram").orderBy("size", "cid")
+    near = F.coalesce(F.lag("size").over(by_size) * 100 >= F.col("size") * percent, F.lit(False))
+    ahead = F.coalesce(F.lead("size").over(by_size) * percent <= F.col("size") * 100, F.lit(False))
+    live = grams.withColumns({"near": near, "ahead": ahead}).filter("near or ahead")
+    shared = F.count("*").over(W.partitionBy("cid"))
+    least = F.expr(f"1 + ({percent} * size + 99) div 100 div {SLACK}")
+    live = live.withColumn("shared", shared).filter((F.col("shared") >= least) & F.col("core"))
+    again = F.coalesce(F.lag("size").over(by_size) * 100 < F.col("size") * percent, F.lit(True))
+    live = live.withColumn("again", again.cast("int"))
+    live = live.withColumn("run", F.sum("again").over(by_size.rowsBetween(W.unboundedPreceding, 0)))
+    run = W.partitionBy("gram", "run")
+    hubs = live.withColumns({"hub": F.min("cid").over(run), "k": F.count("*").over(run)}).filter("k > 1")
+    return hubs.select("hub", "cid").distinct()
+
+
 def jaccard_classes(docs: DataFrame, n: int = 4, percent: int = 85, id_col: str = "doc_id", text_col: str = "text", group_rows: int = GROUP_ROWS) -> DataFrame:
     """doc_id, n_shingles, component_id for every row of ``docs``."""
-    bounded_batches(docs.sparkSession)
+    spark = docs.sparkSession
+    bounded_batches(spark)
     rows = texts(docs, id_col, text_col)
     levels = frequency_levels(rows, n)
     heads = rows.mapInArrow(_prefixes(n, percent, levels), "doc_id long, n_shingles long, class binary, prefix array<long>")
@@ -258,32 +303,21 @@ def jaccard_classes(docs: DataFrame, n: int = 4, percent: int = 85, id_col: str
     slim = heads.select("doc_id", "n_shingles", "class")
 
     one = heads.filter("n_shingles > 0").groupBy("class").agg(F.min("doc_id").alias("first_id"), F.first("n_shingles").alias("n_shingles"))
-    prefixes = heads.filter("n_shingles > 0").select("class", "doc_id", "prefix")
-    chosen = prefixes.join(one.select("class", "first_id", "n_shingles"), "class").filter("doc_id <=> first_id")
-    grams = chosen.select("class", "n_shingles", F.explode("prefix").alias("gram"))
-
-    # Sizes run up within a gram; a gap that no link can cross starts a new run.
-    by_size = W.partitionBy("gram").orderBy("n_shingles", "class")
-    near = F.coalesce(F.lag("n_shingles").over(by_size) * 100 >= F.col("n_shingles") * percent, F.lit(False))
-    ahead = F.coalesce(F.lead("n_shingles").over(by_size) * percent <= F.col("n_shingles") * 100, F.lit(False))
-    live = grams.withColumns({"near": near, "ahead": ahead}).filter("near or ahead")
-    live = live.withColumn("run", F.sum((~F.col("near")).cast("int")).over(by_size.rowsBetween(W.unboundedPreceding, 0)))
-    hubs = live.withColumn("hub", F.min("class").over(W.partitionBy("gram", "run")))
-    members = materialize(hubs.select("hub", "class").distinct(), "members")
+    members = materialize(group_members(heads.filter("n_shingles > 0"), one, percent), "members")
+    release(spark)
 
     sizes = members.groupBy("hub").agg(F.count("*").alias("k"))
-    blocks = F.ceil(F.col("k") / group_rows).cast("int")
-    dealt = members.join(sizes, "hub").withColumn("blocks", blocks)
-    dealt = dealt.withColumn("own", F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int"))
+    dealt = members.join(sizes, "hub").withColumn("blocks", F.ceil(F.col("k") / group_rows).cast("int"))
+    dealt = dealt.withColumn("own", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("hub", "class", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
-
-    wanted = members.select("class").distinct().join(one.select("class", "first_id"), "class")
-    wanted = wanted.select(F.col("first_id").alias("wanted_id")).distinct()
-    bodies = rows.join(wanted, F.col("doc_id").eqNullSafe(F.col("wanted_id"))).select("text")
-    sets = bodies.mapInArrow(_sets(n), "class binary, grams array<long>")
-    grouped = dealt.join(sets, "class").groupBy("hub", "i", "j")
-    links = grouped.applyInArrow(_join_group(percent), "a binary, b binary")
+    place = F.struct("hub", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+    places = dealt.groupBy("cid").agg(F.collect_list(place).alias("places"))
+    wanted = one.withColumn("cid", short("class")).join(places, "cid").select(F.col("first_id").alias("wanted_id"), "class", "places")
+    bodies = rows.join(wanted, F.col("doc_id").eqNullSafe(F.col("wanted_id")))
+    sets = bodies.select("text", "class", "places").mapInArrow(_sets(n), "hub long, i int, j int, class binary, grams array<long>")
+    links = sets.groupBy("hub", "i", "j").applyInArrow(_join_group(percent), "a binary, b binary")
+    links = materialize(links, "links")
+    release(spark)
 
     roots = components(links)
     named = one.select("class", "first_id").join(roots, one["class"] == roots["node"], "left")
