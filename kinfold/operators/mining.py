@@ -35,7 +35,8 @@ def itemset_counts(trans: DataFrame, min_support: float = 0.005, min_count: int
         counts = occurrences.groupBy(*keys, "items").agg(F.count("*").alias("n"))
         return with_totals(counts, sums, keys).filter(F.col("n") >= F.greatest(floor, F.lit(1)))
 
-    singles = frequent(long_form(trans, keys).select(*keys, F.array(ITEM).alias("items")))
+    # Frequent sets are few; persisted, no level counts the ones before it again.
+    singles = frequent(long_form(trans, keys).select(*keys, F.array(ITEM).alias("items"))).persist()
     found = singles
     kept = singles.select(*keys, F.col("items")[0].alias(ITEM))
     rows = long_form(trans, [*keys]).select(*keys, ITEM, "id").join(kept, [*keys, ITEM], "left_semi")
@@ -44,7 +45,7 @@ def itemset_counts(trans: DataFrame, min_support: float = 0.005, min_count: int
     level = grow(level, keys)
     for length in range(2, max_length + 1):
         level = grow(level, keys)
-        counts = frequent(level)
+        counts = frequent(level).persist()
         found = found.unionByName(counts)
         if length < max_length:
             level = level.join(counts.select(*keys, "items"), [*keys, "items"], "left_semi")

@@ -2,8 +2,8 @@
 
 Inputs are the event views of ``sources.io``: baskets (orders and parts' brands or types)
 and document tokens. Doubles are rounded to six places on both sides. Odds ratios, which the pair tables
-round to four, are compared unrounded in ``odds_ratio_pairs`` only: ties in the fifth
-place depend on how an engine rounds.
+round to four places, and the strata's expectations, to two, are left out of them: ties
+in the next place depend on how an engine rounds. ``odds_ratio_pairs`` has the first.
 """
 
 from __future__ import annotations
@@ -191,7 +191,7 @@ def pairwise_associations(s, d):
 
 
 def pairwise_by_group(s, d):
-    return rounded(network.pairwise_associations(prep.strata(_brands(s, d)), keys=(STRATUM,)).drop("odds_ratio"))
+    return rounded(network.pairwise_associations(prep.strata(_brands(s, d)), keys=(STRATUM,)).drop("odds_ratio", "expected"))
 
 
 def session_pairs(s, d):
@@ -546,7 +546,7 @@ from rules join worst using (lhs, rhs)""",
         "top_rules": f"""with {_RULES} select array_to_string(lhs, ' + ') || ' => ' || rhs as rule, round(lift, 6) as lift, n from rules order by rules.lift desc, 1 limit 20""",
         "pairwise_associations": f"{brands}, {_associations()} select * exclude (odds_ratio) replace (round(p_value, 6) as p_value, round(p_adjusted, 6) as p_adjusted) from adjusted",
         "pairwise_by_group": f"""with {_baskets()}, ev as (select distinct g as stratum, id, item from e), {_pair_sql("ev", "stratum")}, {_associations("stratum")}
-select * exclude (odds_ratio) replace (round(p_value, 6) as p_value, round(p_adjusted, 6) as p_adjusted) from adjusted""",
+select * exclude (odds_ratio, expected) replace (round(p_value, 6) as p_value, round(p_adjusted, 6) as p_adjusted) from adjusted""",
         "session_pairs": f"""with ev as (select distinct user_id::varchar || ':' || ts::date::varchar as id, event_type as item from events), {_pair_sql()} select item_a, item_b, n11, n_a, n_b, n from pairs""",
         "network_edges": f"with {_NET} select * exclude (odds_ratio) replace (round(p_value, 6) as p_value, round(p_adjusted, 6) as p_adjusted) from edges",
         "network_nodes": f"with {_NET} select item, k as n, round(k::double / n, 6) as prevalence from cnt, tot where item in (select item from ends)",
