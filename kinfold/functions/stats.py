@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import DoubleType
 
 from kinfold.functions import special
 from kinfold.functions.schema import CORRECTIONS, TESTS, choose
@@ -64,13 +65,13 @@ def chi_square(n11: Column, n10: Column, n01: Column, n00: Column) -> Column:
     return F.when(low == 0, 0.0).otherwise(F.try_divide((a + b + c + d) * F.pow(a * d - b * c, F.lit(2.0)), low))
 
 
-@pandas_udf("double")
+@pandas_udf(DoubleType())
 def fisher_right(n11: pd.Series, n_a: pd.Series, n_b: pd.Series, n: pd.Series) -> pd.Series:
     """Right tail of Fisher's exact test, a batch of pairs at once."""
     return pd.Series(special.fisher_right(n11, n_a, n_b, n))
 
 
-@pandas_udf("double")
+@pandas_udf(DoubleType())
 def chi_square_p(statistic: pd.Series) -> pd.Series:
     return pd.Series(special.chi_square_p(statistic))
 
