@@ -33,6 +33,7 @@ from kinfold.llm.common import bounded_batches, texts
 KINDS = ("email", "ip", "card", "phone")
 OTHER = len(KINDS)
 MAX_SAMPLED = 2000
+SKIP_PRIOR = 60  # agreeing links that equal forms are credited with beforehand
 LOCAL = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-"
 DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+")
 IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
@@ -103,6 +104,7 @@ class Node:
 
 
 SHAPES = "digits7 digits10 digits14 digits20 luhn plus at domain dots3 octets spaced hyphen brackets letters hex named bias".split()
+NAMED = SHAPES.index("named")  # names stand without a label: their own shape says nothing, their links decide
 
 
 def shape(piece: str) -> np.ndarray:
@@ -130,7 +132,7 @@ def shape(piece: str) -> np.ndarray:
             letters > 0,
             n > 0 and letters > 0 and at < 0,
             at < 0 and n < 7,
-            True,
+            not (at < 0 and n < 7),
         ],
         dtype=float,
     )
@@ -258,8 +260,8 @@ def fit(rows: list[tuple[list[float], int]], links: dict[str, tuple[int, int]],
             p = np.exp(z - z.max(axis=1, keepdims=True))
             p /= p.sum(axis=1, keepdims=True)
             weights += rate * (x.T @ (y - p) / len(x) - ridge * weights)
-    odds = {k: float(np.clip(np.log((same + 1) / (other + 1)), lo, hi)) for (k, (same, other)), (lo, hi) in zip(sorted(links.items()), ((0.0, 0.5), (1.0, 4.0)))}
-    return Field(weights, odds["chain"], odds["skip"])
+    odds = lambda same, other, prior: float(np.log((same + prior) / (other + 1)))
+    return Field(weights, float(np.clip(odds(*links["chain"], 1), 0.0, 0.5)), float(np.clip(odds(*links["skip"], SKIP_PRIOR), 1.0, 4.0)))
 
 
 def _training(batches):
@@ -268,7 +270,7 @@ def _training(batches):
         for text in batch.column("text").to_pylist():
             found = nodes(text)
             label = [OTHER if x.label is None else x.label for x in found]
-            rows += [("node", x.shape.tolist(), y) for x, y in zip(found, label)]
+            rows += [("node", x.shape.tolist(), y) for x, y in zip(found, label) if not x.shape[NAMED]]
             rows += [("chain", [], int(a == b)) for a, b in zip(label, label[1:])]
             rows += [("skip", [], int(label[i] == label[j])) for i, j in skips(found) if OTHER not in (label[i], label[j])]
         columns = list(zip(*rows)) or [()] * 3
