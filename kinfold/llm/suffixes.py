@@ -180,14 +180,24 @@ def anchors(raw: bytes, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndar
 
 
 def _anchors(length: int, gram: int):
+    """(gram, key_id, loc, more): a row for each gram of a document, with its first place and any others."""
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int32())]
+
     def run(batches):
         for batch in batches:
             for key_id, crc, text in zip(batch.column("key_id").to_pylist(), batch.column("crc").to_pylist(), batch.column("text").to_pylist()):
                 at, hashes = anchors(text.encode("utf-8", "surrogatepass"), length, gram)
-                for k in range(0, len(at), 100_000):
-                    part = at[k : k + 100_000]
-                    columns = [hashes[k : k + 100_000].view(np.int64), np.full(len(part), key_id, dtype=np.int64), (np.int64(crc) << 31) | part]
-                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["gram", "key_id", "loc"])
+                order = np.argsort(hashes, kind="stable")
+                at, hashes = at[order].astype(np.int64), hashes[order]
+                heads = np.flatnonzero(np.concatenate([[True], hashes[1:] != hashes[:-1]])) if len(at) else at
+                more = [None] * len(heads)
+                sizes = np.diff(np.append(heads, len(at)))
+                for k in np.flatnonzero(sizes > 1).tolist():
+                    more[k] = at[heads[k] + 1 : heads[k] + sizes[k]].astype(np.int32)
+                for k in range(0, len(heads), 100_000):
+                    part = heads[k : k + 100_000]
+                    columns = [hashes[part].view(np.int64), np.full(len(part), key_id, dtype=np.int64), (np.int64(crc) << 31) | at[part], more[k : k + 100_000]]
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], ["gram", "key_id", "loc", "more"])
 
     return run
 
@@ -276,14 +286,16 @@ def _remove(length: int):
 
 def live_anchors(keyed: DataFrame, firsts: DataFrame, length: int, gram: int, group_anchors: int) -> DataFrame:
     """key_id, crc, groups: for each first document the anchors that other places have too, by hub and slice."""
-    found = keyed.mapInArrow(_anchors(length, gram), "gram long, key_id long, loc long")
+    found = keyed.mapInArrow(_anchors(length, gram), "gram long, key_id long, loc long, more array<int>")
     same = W.partitionBy("gram")
     found = found.withColumns({"low": F.min("loc").over(same), "high": F.max("loc").over(same), "hub": F.min("key_id").over(same)})
-    live = found.filter("low <> high").select("gram", "key_id", F.expr("shiftright(loc, 31)").alias("crc"), F.expr(f"loc & {2**31 - 1}").alias("place"), "hub")
+    live = found.filter("low <> high or more is not null")
+    live = live.select("gram", "key_id", F.expr("shiftright(loc, 31)").alias("crc"), F.expr(f"cast(loc & {2**31 - 1} as int)").alias("place"), "more", "hub")
     live = materialize(live.join(firsts, ["key_id", "crc"], "left_semi"), "anchors")
-    sizes = live.groupBy("hub").agg(F.ceil(F.count("*") / group_anchors).cast("int").alias("slices"))
+    places = F.concat(F.array("place"), F.coalesce("more", F.array().cast("array<int>")))
+    sizes = live.groupBy("hub").agg(F.ceil(F.sum(F.size(places)) / group_anchors).cast("int").alias("slices"))
     cut = live.join(sizes, "hub").withColumn("slice", F.when(F.col("slices") > 1, F.pmod("gram", F.col("slices"))).otherwise(0).cast("int"))
-    groups = cut.groupBy("key_id", "crc", "hub", "slice").agg(F.collect_list("place").alias("places"))
+    groups = cut.groupBy("key_id", "crc", "hub", "slice").agg(F.flatten(F.collect_list(places)).alias("places"))
     return groups.groupBy("key_id", "crc").agg(F.collect_list(F.struct("hub", "slice", "places")).alias("groups"))
 
 
