@@ -41,6 +41,7 @@ def itemset_counts(trans: DataFrame, min_support: float = 0.005, min_count: int
     kept = singles.select(*keys, F.col("items")[0].alias(ITEM))
     rows = long_form(trans, [*keys]).select(*keys, ITEM, "id").join(kept, [*keys, ITEM], "left_semi")
     rest = rows.groupBy(*keys, "id").agg(F.array_sort(F.collect_set(ITEM)).alias("rest"))
+    rest = rest.persist()  # every level starts from it
     level = rest.select(*keys, F.array().cast(trans.schema["items"].dataType).alias("items"), "rest")
     level = grow(level, keys)
     for length in range(2, max_length + 1):

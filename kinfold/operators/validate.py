@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kinfold.functions import stats
-from kinfold.functions.schema import ID, ITEM, CORRECTIONS, TESTS, choose
+from kinfold.functions.schema import CORRECTIONS, ID, ITEM, TESTS, choose
+from kinfold.operators.network import pair_counts
 
 ADDED = ("item_pair", "observed", "expected", "odds_ratio", "p_value", "p_adjusted", "significant")
 
@@ -25,14 +26,12 @@ def item_pairs(rules: DataFrame):
 def pair_tests(pairs: DataFrame, events: DataFrame, test: str, correction: str, keys: Sequence[str]) -> DataFrame:
     """Counts over all records of ``events`` and adjusted p-values for distinct pairs."""
     keys = list(keys)
-    items = events.select(*keys, ID, ITEM).distinct()
-    n = items.groupBy(*keys).agg(F.count_distinct(ID).alias("n"))
-    single = items.groupBy(*keys, ITEM).agg(F.count("*").alias("k"))
+    n = events.groupBy(*keys).agg(F.count_distinct(ID).alias("n"))
     wanted = pairs.select(*keys, "item_a", "item_b").distinct()
     used = wanted.select(*keys, F.col("item_a").alias(ITEM)).union(wanted.select(*keys, F.col("item_b").alias(ITEM))).distinct()
-    few = items.join(used, [*keys, ITEM], "left_semi")
-    a, b = (few.select(*keys, ID, F.col(ITEM).alias(f"item_{s}")) for s in "ab")
-    met = a.join(b, [*keys, ID]).filter("item_a < item_b").groupBy(*keys, "item_a", "item_b").agg(F.count("*").alias("n11"))
+    few = events.select(*keys, ID, ITEM).join(used, [*keys, ITEM], "left_semi")
+    single = few.groupBy(*keys, ITEM).agg(F.count_distinct(ID).alias("k"))
+    met = pair_counts(few, keys).select(*keys, "item_a", "item_b", "n11")
     out = wanted.join(met, [*keys, "item_a", "item_b"], "left").na.fill(0, ["n11"])
     for side in "ab":
         margin = single.select(*keys, F.col(ITEM).alias(f"item_{side}"), F.col("k").alias(f"n_{side}"))
