@@ -12,6 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from kinfold.functions.lineage import checkpointed
 from kinfold.functions.schema import ITEM
 from kinfold.operators.prep import long_form
 
@@ -35,8 +36,8 @@ def itemset_counts(trans: DataFrame, min_support: float = 0.005, min_count: int
         counts = occurrences.groupBy(*keys, "items").agg(F.count("*").alias("n"))
         return with_totals(counts, sums, keys).filter(F.col("n") >= F.greatest(floor, F.lit(1)))
 
-    # Frequent sets are few; persisted, no level counts the ones before it again.
-    singles = frequent(long_form(trans, keys).select(*keys, F.array(ITEM).alias("items"))).persist()
+    # Frequent sets are few; written, no level counts or plans the ones before it again.
+    singles = checkpointed(frequent(long_form(trans, keys).select(*keys, F.array(ITEM).alias("items"))))
     found = singles
     kept = singles.select(*keys, F.col("items")[0].alias(ITEM))
     rows = long_form(trans, [*keys]).select(*keys, ITEM, "id").join(kept, [*keys, ITEM], "left_semi")
@@ -46,7 +47,7 @@ def itemset_counts(trans: DataFrame, min_support: float = 0.005, min_count: int
     level = grow(level, keys)
     for length in range(2, max_length + 1):
         level = grow(level, keys)
-        counts = frequent(level).persist()
+        counts = checkpointed(frequent(level))
         found = found.unionByName(counts)
         if length < max_length:
             level = level.join(counts.select(*keys, "items"), [*keys, "items"], "left_semi")

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kinfold.functions import stats
+from kinfold.functions.lineage import checkpointed
 from kinfold.functions.schema import CORRECTIONS, ID, ITEM, TESTS, choose
 from kinfold.operators.network import pair_counts
 
@@ -52,11 +53,11 @@ def validate_rules(rules: DataFrame, events: DataFrame, test: str = "fisher", co
     choose(test, TESTS, "test")
     choose(correction, CORRECTIONS, "correction")
     keys = list(keys)
-    rules = rules.persist()  # mined once, though joined twice
+    rules = checkpointed(rules)  # mined once, though joined twice
     names = [c for c in ("lhs", "rhs", "items") if c in rules.columns]
     own = [*keys, *names]
     pairs = rules.select(*own, F.posexplode(item_pairs(rules)).alias("at", "pair")).select(*own, "at", "pair.item_a", "pair.item_b")
-    tested = pair_tests(pairs, events, test, correction, keys).persist()
+    tested = checkpointed(pair_tests(pairs, events, test, correction, keys))
     joined = pairs.join(tested, [*keys, "item_a", "item_b"])
     label = F.concat(F.col("item_a"), F.lit(" + "), F.col("item_b"))
     values = F.struct("n11", "expected", "odds_ratio", "p_value", "p_adjusted")
