@@ -41,7 +41,7 @@ GROUP_ROWS = 2000
 SLACK = 10  # longer prefixes by a tenth of the set
 FOLD = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 _WORDS: dict[bytes, int] = {}
-MEMO = 300_000
+MEMO = 100_000
 
 
 def word_hashes(words: list[bytes]) -> np.ndarray:
@@ -86,6 +86,7 @@ def _sketch(n: int):
         for batch in batches:
             for text in batch.column("text").to_pylist():
                 np.add.at(seen, ngrams(text, n) >> np.uint64(64 - SKETCH_BITS), 1)
+        _WORDS.clear()  # workers live on, and later stages need the memory
         rows = seen.reshape(SKETCH_ROWS, -1)
         yield pa.RecordBatch.from_arrays([pa.array(range(SKETCH_ROWS), pa.int32()), pa.array([r.tobytes() for r in rows], pa.binary())], ["part", "counts"])
 
@@ -212,10 +213,13 @@ def _join_group(percent: int):
     kinds = [("a", pa.binary()), ("b", pa.binary())]
 
     def run(table: pa.Table) -> pa.Table:
-        columns = table.select(["class", "grams"]).to_pydict()
         seen: dict[bytes, np.ndarray] = {}
-        for c, g in zip(columns["class"], columns["grams"]):
-            seen.setdefault(c, np.array(g, dtype=np.int64))
+        for batch in table.select(["class", "grams"]).to_batches():
+            grams = batch.column("grams")
+            values, ends = grams.values.to_numpy(zero_copy_only=False), grams.offsets.to_numpy()
+            for k, c in enumerate(batch.column("class").to_pylist()):
+                if c not in seen:
+                    seen[c] = values[ends[k] : ends[k + 1]]
         classes = sorted(seen)
         root = list(range(len(classes)))
 
