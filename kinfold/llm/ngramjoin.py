@@ -11,7 +11,8 @@
    tree, ordered by frequency within the group so that near copies share long paths.
    Each set walks the tree, sharing the overlap counted so far, and leaves a subtree when
    what is left of it cannot reach the threshold. Sets already linked by way of others
-   are not compared again. Groups above ``group_rows`` are dealt as pairs of blocks.
+   are not compared again. Groups above ``group_rows`` sets or ``group_grams`` n-grams are
+   dealt as pairs of blocks.
 4. Links become classes by large-star and small-star steps.
 
 No pair is dropped for size: the prefix rule, the length rule and the tree's bound only
@@ -38,6 +39,7 @@ from kinfold.llm.common import bounded_batches, materialize, release, texts
 SKETCH_BITS = 20
 SKETCH_ROWS = 256
 GROUP_ROWS = 2000
+GROUP_GRAMS = 2_000_000
 SLACK = 10  # longer prefixes by a tenth of the set
 FOLD = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 _WORDS: dict[bytes, int] = {}
@@ -154,18 +156,38 @@ def _sets(n: int):
     return run
 
 
+def ranked(sets: list[np.ndarray]) -> tuple[np.ndarray, int]:
+    """All n-grams of ``sets`` as places in one order, most frequent first, and how many places there are.
+
+    Numbers of 32 bits, and no copy is kept longer than needed: this is the peak of a group's memory.
+    """
+    flat = np.concatenate(sets)
+    by_value = np.argsort(flat)
+    flat = flat[by_value]
+    new = np.ones(len(flat), dtype=bool)
+    new[1:] = flat[1:] != flat[:-1]
+    del flat
+    number = np.cumsum(new, dtype=np.int32)
+    number -= 1
+    counts = np.bincount(number).astype(np.int32)
+    rank = np.empty(len(counts), dtype=np.int32)
+    rank[np.argsort(-counts, kind="stable")] = np.arange(len(counts), dtype=np.int32)
+    out = np.empty(len(number), dtype=np.int32)
+    out[by_value] = rank[number]
+    return out, len(counts)
+
+
 class PrefixTree:
     """Sets as paths in one order; neighbours in sorted order share the path up to ``shared``."""
 
     def __init__(self, sets: list[np.ndarray]):
         sizes = np.array([len(s) for s in sets])
-        values, inverse, counts = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-        rank = np.empty(len(values), dtype=np.int64)
-        rank[np.lexsort((values, -counts))] = np.arange(len(values))
-        paths = [np.sort(p) for p in np.split(rank[inverse], np.cumsum(sizes)[:-1])]
+        ranks, self.width = ranked(sets)
+        paths = np.split(ranks, np.cumsum(sizes)[:-1])
+        for path in paths:
+            path.sort()
         self.order = sorted(range(len(paths)), key=lambda i: paths[i].astype(">u4").tobytes())
         self.paths = [paths[i] for i in self.order]
-        self.width = len(values)
         self.shared = [0] * len(paths)
         for k in range(1, len(paths)):
             a, b = self.paths[k - 1], self.paths[k]
@@ -274,7 +296,7 @@ def short(name: str):
 
 
 def group_members(heads: DataFrame, one: DataFrame, percent: int) -> DataFrame:
-    """(hub, cid): the groups in which each class's set must be compared."""
+    """(hub, cid, size): the groups in which each class's set must be compared."""
     chosen = heads.join(one.select("class", "first_id"), "class").filter("doc_id <=> first_id")
     head = F.expr(f"n_shingles - ({percent} * n_shingles + 99) div 100 + 1")
     grams = chosen.select(short("class").alias("cid"), F.col("n_shingles").cast("int").alias("size"), head.alias("head"), F.posexplode("prefix").alias("at", "gram"))
@@ -293,10 +315,10 @@ def group_members(heads: DataFrame, one: DataFrame, percent: int) -> DataFrame:
     live = live.withColumn("run", F.sum("again").over(by_size.rowsBetween(W.unboundedPreceding, 0)))
     run = W.partitionBy("gram", "run")
     hubs = live.withColumns({"hub": F.min("cid").over(run), "k": F.count("*").over(run)}).filter("k > 1")
-    return hubs.select("hub", "cid").distinct()
+    return hubs.select("hub", "cid", "size").distinct()
 
 
-def jaccard_classes(docs: DataFrame, n: int = 4, percent: int = 85, id_col: str = "doc_id", text_col: str = "text", group_rows: int = GROUP_ROWS) -> DataFrame:
+def jaccard_classes(docs: DataFrame, n: int = 4, percent: int = 85, id_col: str = "doc_id", text_col: str = "text", group_rows: int = GROUP_ROWS, group_grams: int = GROUP_GRAMS) -> DataFrame:
     """doc_id, n_shingles, component_id for every row of ``docs``."""
     spark = docs.sparkSession
     bounded_batches(spark)
@@ -310,8 +332,8 @@ def jaccard_classes(docs: DataFrame, n: int = 4, percent: int = 85, id_col: str
     members = materialize(group_members(heads.filter("n_shingles > 0"), one, percent), "members")
     release(spark)
 
-    sizes = members.groupBy("hub").agg(F.count("*").alias("k"))
-    dealt = members.join(sizes, "hub").withColumn("blocks", F.ceil(F.col("k") / group_rows).cast("int"))
+    blocks = F.greatest(F.ceil(F.count("*") / group_rows), F.ceil(F.sum("size") / group_grams)).cast("int")
+    dealt = members.join(members.groupBy("hub").agg(blocks.alias("blocks")), "hub")
     dealt = dealt.withColumn("own", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     place = F.struct("hub", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))

@@ -60,8 +60,8 @@ def brute_classes(rows, n, percent):
     return sorted(((d, len(sets[i]), d if not sets[i] else low[find(i)]) for i, (d, _) in enumerate(rows)), key=str)
 
 
-@pytest.mark.parametrize("n, percent, group_rows", [(4, 85, 2000), (2, 60, 3), (5, 80, 2000)])
-def test_jaccard_classes(spark, n, percent, group_rows):
+@pytest.mark.parametrize("n, percent, group_rows, group_grams", [(4, 85, 2000, 2_000_000), (2, 60, 3, 2_000_000), (5, 80, 2000, 2_000_000), (3, 70, 2000, 40)])
+def test_jaccard_classes(spark, n, percent, group_rows, group_grams):
     rng = random.Random(9)
     base = cases.prose(rng, 60).split()
     extra = []
@@ -71,7 +71,7 @@ def test_jaccard_classes(spark, n, percent, group_rows):
             words[rng.randrange(60)] = rng.choice(cases.WORDS)
         extra.append((100 + k, " ".join(words)))
     docs = cases.documents(spark, extra=extra)
-    got = sorted(map(tuple, ngramjoin.jaccard_classes(docs, n, percent, group_rows=group_rows).collect()), key=str)
+    got = sorted(map(tuple, ngramjoin.jaccard_classes(docs, n, percent, group_rows=group_rows, group_grams=group_grams).collect()), key=str)
     assert got == brute_classes(cases.pairs(docs), n, percent)
 
 
