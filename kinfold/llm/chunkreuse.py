@@ -3,10 +3,11 @@
 A rolling hash over 48 bytes of text cuts it where the hash has certain bits, so equal
 passages of different documents fall into equal chunks wherever they stand. A worker
 encodes a chunk it meets again only once. At a join the pre-tokenizer may have cut
-differently than in the whole text, so the last piece of the left chunk and the first of
-the right are encoded again as one; the window grows until a piece ends where one of the
-right chunk's pieces ends, from where on both agree exactly: what a piece is depends
-only on the text from its start to one character past its end.
+differently than in the whole text, so the last two pieces of the left chunk and the first
+of the right are encoded again as one; the window grows until a piece ends where one of the
+right chunk's pieces ends, from where on both agree exactly: what a piece is depends only
+on the text from its start to two characters past its end (an apostrophe before "re", "ve"
+or "ll"), which two pieces more always hold.
 
 Chunks are remembered in each worker (``MEMO_CHUNKS``), not in a table of the whole
 corpus: that would shuffle all texts and all ids, more than encoding again costs.
@@ -31,6 +32,7 @@ from kinfold.llm.common import bounded_batches, texts
 WINDOW = 48
 MASK = 10  # bits: chunks of about 2**10 characters
 HEAD = 8
+OPEN = 2  # pieces at the end of a text that what follows may change
 MEMO_CHUNKS = 20_000
 BASE = 0x9E3779B97F4A7C15 | 1
 
@@ -73,7 +75,7 @@ def cuts(text: str, window: int = WINDOW, mask: int = MASK) -> list[int]:
 
 
 class Chunk:
-    """Ids of a chunk by itself, and where its first pieces end and its last begins."""
+    """Ids of a chunk by itself, and where its first pieces end and its last two begin."""
 
     __slots__ = ("ids", "head", "head_ids", "tail", "tail_ids")
 
@@ -82,8 +84,8 @@ class Chunk:
         parts = tool.encode_parts(pieces)
         self.ids = b"".join(parts)
         self.head, self.head_ids = ends(pieces[:HEAD]), ends(parts[:HEAD])
-        self.tail = len(text) - len(pieces[-1])
-        self.tail_ids = len(self.ids) - len(parts[-1])
+        self.tail = len(text) - sum(map(len, pieces[-OPEN:]))
+        self.tail_ids = len(self.ids) - sum(map(len, parts[-OPEN:]))
 
 
 class Reuse:
@@ -125,14 +127,14 @@ class Reuse:
         return b"".join(out)
 
     def repair(self, text: str, open_at: int, begin: int, end: int, part: Chunk) -> tuple[bytes, int] | None:
-        """Ids from the open piece to the first piece end that both sides share, and its number.
+        """Ids from the open pieces to the first piece end that both sides share, and its number.
 
         None if the chunk is too short to agree: it stays open, and the next join takes it in.
         """
         reach = begin + part.head[-1]
         pieces = self.tool.pieces(text[open_at:reach])
         at, sizes = open_at, []
-        for piece in pieces[:-1]:  # what ends at the window's end may go on beyond it
+        for piece in pieces[:-OPEN]:  # what ends near the window's end may go on beyond it
             at += len(piece)
             sizes.append(at)
         for k, stop in enumerate(sizes):

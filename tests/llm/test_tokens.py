@@ -40,6 +40,18 @@ def test_chunk_joins(mask):
     assert len(reuse.memo) > 10
 
 
+def test_joins_at_contractions(monkeypatch):
+    tool = codec.Codec(codec.read_tokenizer(public_tokenizers.path("byte_bpe_50k.json")))
+    wrong = []
+    for text in ("so they're here", "we've 'll 're ''ve x'llama", "I'll  say they'r and 'v 'l're", "a b c d e f g they're h", "1'l'll'v've'r're"):
+        for a in range(1, len(text)):
+            for b in range(a, len(text)):
+                monkeypatch.setattr(chunkreuse, "cuts", lambda t, mask: sorted({a, b, len(t)}))
+                if chunkreuse.Reuse(tool).encode(text) != tool.whole(text):
+                    wrong.append((text, a, b))
+    assert not wrong
+
+
 def test_equal_passages_share_chunks():
     passage = cases.prose(random.Random(1), 800)
     parts = []
