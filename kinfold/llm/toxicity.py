@@ -8,6 +8,10 @@ more. An additive model turns a document's hits into a score.
 
 The automaton runs once for each distinct word and only where one half of a term stands
 at its place in the word: within one edit a half must survive, so nothing is missed.
+Terms and stems of ``LEAST`` letters or more are met with one edit, of eight with two,
+neighbours exchanged being one edit; such looser hits weigh less. A word can be near only
+if it and the term become equal by leaving out as many letters as there are edits, which
+is looked up before the automaton runs.
 
 The lexicon is a short public list, extended by words and stems that the labelled rows
 show to be typical of label 1. Learned from at most ``max_labelled`` labelled rows
@@ -41,6 +45,9 @@ TERMS = "idiot moron stupid loser scum trash pathetic worthless disgusting clown
 REPORTING = frozenset("said says wrote writes called quoted quote quotes cited reported word term dit écrit schrieb sagte dijo escribió".split())
 ADDRESS = frozenset("you your you're u du dein tu tes vous usted tú".split())
 
+LEAST = 4  # letters of the shortest terms and stems whose misspellings count
+WEIGHT = {2: 0.7, 4: 0.4}  # of a hit that is not the term itself
+
 FEATURES = "hits near stems score densest quoted addressed log_words per_100".split()
 
 
@@ -112,10 +119,63 @@ def intersect(trie: Trie, automaton: Levenshtein) -> tuple[str, int] | None:
     return None if best is None else (best[1], best[0])
 
 
+class Swapping(Levenshtein):
+    """The same with two neighbours exchanged as one edit; states are two rows of distances and the last letter."""
+
+    def start(self):
+        return super().start(), None, ""
+
+    def step(self, state, ch: str):
+        row, before, last = state
+        out = [row[0] + 1]
+        for k, c in enumerate(self.word):
+            least = min(out[k] + 1, row[k] + (c != ch), row[k + 1] + 1)
+            if k and before is not None and c == last and self.word[k - 1] == ch:
+                least = min(least, before[k - 1] + 1)
+            out.append(least)
+        return tuple(out), row, ch
+
+    def alive(self, state) -> bool:
+        return min(state[0]) <= self.most or state[1] is not None and min(state[1]) < self.most
+
+    def distance(self, state) -> int:
+        return state[0][-1]
+
+    def nearest_prefix(self, state) -> int:
+        return min(state[0])
+
+
+def edits(length: int) -> int:
+    """How many edits a word may be away from a term of ``length`` letters."""
+    return 2 if length >= 8 else 1
+
+
+def deletions(word: str, most: int) -> set[str]:
+    """``word`` without up to ``most`` of its letters: words within as many edits have one of these in common."""
+    out = new = {word}
+    for _ in range(most):
+        new = {w[:k] + w[k + 1 :] for w in new for k in range(len(w))}
+        out = out | new
+    return out
+
+
+def may_be(word: str, letters, most: int) -> bool:
+    """Whether ``word`` differs from one of the sets of letters by no more than ``most`` edits bring in or take away."""
+    own = set(word)
+    for one in letters:
+        if len(own - one) <= most and len(one - own) <= most:
+            return True
+    return False
+
+
 class Lexicon:
-    """Looks words up: 0 none, 1 a term, 2 within one edit of one of six letters or more, 3 a stem."""
+    """Looks words up: 0 none, 1 a term, 2 within one edit of one of six letters or more, 3 a stem.
+
+    With ``least``, also 4: a looser match of a term or stem of that many letters or more, by
+    ``edits`` of its length, neighbours exchanged being one edit.
+    """
 
-    def __init__(self, terms: list[str], stems: list[str], fuzzy: int = 6):
+    def __init__(self, terms: list[str], stems: list[str], fuzzy: int = 6, least: int | None = None):
         self.trie = Trie(terms, stems)
         self.terms = frozenset(terms)
         self.fuzzy = fuzzy
@@ -126,20 +186,53 @@ class Lexicon:
         self.head_sizes = sorted({n for n, _ in self.heads})
         self.tail_sizes = sorted({n for n, _ in self.tails})
         self.memo: dict[str, int] = {}
+        self.loose_terms = [t for t in terms if least is not None and len(t) >= least]
+        self.loose_stems = [t for t in stems if least is not None and len(t) >= least]
+        self.loose_trie = Trie(self.loose_terms, self.loose_stems)
+        self.gaps = {k: {d for t in self.loose_terms if edits(len(t)) == k for d in deletions(t, k)} for k in (1, 2)}
+        self.spans = {k: {n + j for n in map(len, self.loose_terms) if edits(n) == k for j in range(-k, k + 1)} for k in (1, 2)}
+        self.letters = {k: {frozenset(t) for t in self.loose_terms if edits(len(t)) == k} for k in (1, 2)}
+        self.stem_letters = {k: {frozenset(t) for t in self.loose_stems if edits(len(t)) == k} for k in (1, 2)}
+        self.stem_gaps = {k: {d for t in self.loose_stems if edits(len(t)) == k for d in deletions(t, k)} for k in (1, 2)}
+        self.stem_spans = {k: sorted({n + j for n in map(len, self.loose_stems) if edits(n) == k for j in range(-k, k + 1)}) for k in (1, 2)}
+
+    def loose(self, word: str) -> bool:
+        """Whether ``word`` is within a term's edits, or begins with what is within a stem's."""
+        for k in (1, 2):
+            if len(word) in self.spans[k] and may_be(word, self.letters[k], k) and not self.gaps[k].isdisjoint(deletions(word, k)):
+                return self.near(word)
+            for n in self.stem_spans[k]:
+                if n <= len(word) and may_be(word[:n], self.stem_letters[k], k) and not self.stem_gaps[k].isdisjoint(deletions(word[:n], k)):
+                    return self.near(word)
+        return False
+
+    def near(self, word: str) -> bool:
+        """The automaton of ``word`` and the trie, walked together."""
+        automaton = Swapping(word, 2)
+        stack = [(0, automaton.start())]
+        while stack:
+            at, state = stack.pop()
+            term, stem = self.loose_trie.word[at], self.loose_trie.stem[at]
+            if term is not None and automaton.distance(state) <= edits(len(term)):
+                return True
+            if stem is not None and automaton.nearest_prefix(state) <= edits(len(stem)):
+                return True
+            for ch, to in self.loose_trie.next[at].items():
+                after = automaton.step(state, ch)
+                if automaton.alive(after):
+                    stack.append((to, after))
+        return False
 
     def kind(self, word: str) -> int:
         if word in self.terms:
             return 1
         if self.trie.stem_of(word) is not None:
             return 3
-        n = len(word)
-        if n not in self.lengths:
-            return 0
-        if any((k, word[:k]) in self.heads for k in self.head_sizes) or any((k, word[-k:]) in self.tails for k in self.tail_sizes):
+        if len(word) in self.lengths and (any((k, word[:k]) in self.heads for k in self.head_sizes) or any((k, word[-k:]) in self.tails for k in self.tail_sizes)):
             found = intersect(self.trie, Levenshtein(word, 1))
             if found is not None and len(found[0]) >= self.fuzzy:
                 return 2
-        return 0
+        return 4 if self.loose(word) else 0
 
     def of(self, chunk: str) -> int:
         found = self.memo.get(chunk)
@@ -164,11 +257,11 @@ class Lexicon:
             inside = marks is not None and (marks[i - 1] if i else 0) % 2 == 1
             told = inside or (marks is not None and any(q in words[i] for q in QUOTES)) or any(w in REPORTING for w in around[:reach])
             spoken = any(w in ADDRESS for w in around)
-            near += kind == 2
+            near += kind in (2, 4)
             stems += kind == 3
             quoted += told
             addressed += spoken
-            score += (0.25 if told else 1.0) * (1.5 if spoken else 1.0) * (0.7 if kind == 2 else 1.0)
+            score += (0.25 if told else 1.0) * (1.5 if spoken else 1.0) * WEIGHT.get(kind, 1.0)
         dense = int((np.searchsorted(at, at + 50) - np.arange(len(at))).max())
         return (float(len(hits)), near, stems, score, float(dense), quoted / len(hits), addressed / len(hits), math.log1p(n), 100 * len(hits) / n)
 
@@ -223,7 +316,7 @@ def learned_terms(sample: DataFrame, most: int = 20_000, least: int = 4, share:
 
 def extractor(terms: list[str], stems: list[str]):
     def run(batches):
-        lexicon = Lexicon(terms, stems)
+        lexicon = Lexicon(terms, stems, least=LEAST)
         for batch in batches:
             rows = [lexicon.features(t or "") for t in batch.column("text").to_pylist()]
             columns = list(zip(*rows)) if rows else [()] * len(FEATURES)

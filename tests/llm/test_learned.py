@@ -5,6 +5,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from kinfold.llm import decisionlist, gam, skipchain, textstats, toxicity
@@ -107,6 +108,35 @@ def test_automaton():
         assert lexicon.kind(word) == kind
 
 
+def swapped(a, b):
+    """Distance with neighbours exchanged as one edit."""
+    d = {(i, 0): i for i in range(len(a) + 1)} | {(0, j): j for j in range(len(b) + 1)}
+    for i in range(1, len(a) + 1):
+        for j in range(1, len(b) + 1):
+            d[i, j] = min(d[i - 1, j] + 1, d[i, j - 1] + 1, d[i - 1, j - 1] + (a[i - 1] != b[j - 1]))
+            if i > 1 and j > 1 and a[i - 1] == b[j - 2] and a[i - 2] == b[j - 1]:
+                d[i, j] = min(d[i, j], d[i - 2, j - 2] + 1)
+    return d[len(a), len(b)]
+
+
+def test_short_terms_and_stems_are_met_misspelt():
+    rng = random.Random(2)
+    terms, stems = ["abcabc", "abca", "bbbbb", "cabbacab"], ["ccac"]
+    lexicon = toxicity.Lexicon(terms, stems, least=4)
+    for _ in range(3000):
+        word = "".join(rng.choice("abc") for _ in range(rng.randint(1, 10)))
+        near = any(swapped(word, t) <= (2 if len(t) >= 8 else 1) for t in terms)
+        near = near or any(swapped(word[:k], t) <= 1 for t in stems for k in range(len(word) + 1))
+        assert (lexicon.kind(word) > 0) == near
+
+
+def test_documents_of_misspelt_insults():
+    texts = ["one idiott two morron three scumm", "tarsh lsoer duumb clowm", "pahtetci worhtles filhty", "plain words alone"]
+    batch = pa.RecordBatch.from_pydict({"text": texts})
+    rows = next(toxicity.extractor(toxicity.TERMS, [])(iter([batch])))
+    assert rows.column("hits").to_pylist() == [3, 4, 3, 0]
+
+
 def test_quotation_counts_for_less():
     lexicon = toxicity.Lexicon(toxicity.TERMS, [])
     score = lambda t: lexicon.features(t)[toxicity.FEATURES.index("score")]
