@@ -10,8 +10,8 @@
 3. Each remaining run gathers at its smallest class. There the whole sets form a prefix
    tree, ordered by frequency within the group so that near copies share long paths.
    Each set walks the tree, sharing the overlap counted so far, and leaves a subtree when
-   what is left of it cannot reach the threshold. Sets already linked by way of others
-   are not compared again. Groups above ``group_rows`` sets or ``group_grams`` n-grams are
+   what is left of it cannot reach the threshold. Where only classes are wanted, sets already
+   linked by way of others are not compared again; ``jaccard_links`` compares all. Groups above ``group_rows`` sets or ``group_grams`` n-grams are
    dealt as pairs of blocks.
 4. Links become classes by large-star and small-star steps.
 
@@ -231,7 +231,8 @@ class PrefixTree:
         return out
 
 
-def _join_group(percent: int):
+def _join_group(percent: int, every: bool = False):
+    """Links of a group: all of them with ``every``, else those that join its classes."""
     kinds = [("a", pa.binary()), ("b", pa.binary())]
 
     def run(table: pa.Table) -> pa.Table:
@@ -257,8 +258,13 @@ def _join_group(percent: int):
                 root[max(a, b)] = min(a, b)
             return a == b
 
-        if len(classes) > 1:
-            PrefixTree([seen[c] for c in classes]).links(percent, skip)
+        tree = PrefixTree([seen[c] for c in classes]) if len(classes) > 1 else None
+        if every:
+            found = tree.links(percent, lambda i, j, link: False) if tree else []
+            pairs = [(classes[min(p)], classes[max(p)]) for p in found]
+            return pa.table({name: pa.array([p[k] for p in pairs], kind) for k, (name, kind) in enumerate(kinds)})
+        if tree:
+            tree.links(percent, skip)
         pairs = [(classes[find(i)], classes[i]) for i in range(len(classes)) if find(i) != i]
         return pa.table({name: pa.array([p[k] for p in pairs], kind) for k, (name, kind) in enumerate(kinds)})
 
@@ -318,16 +324,14 @@ def group_members(heads: DataFrame, one: DataFrame, percent: int) -> DataFrame:
     return hubs.select("hub", "cid", "size").distinct()
 
 
-def jaccard_classes(docs: DataFrame, n: int = 4, percent: int = 85, id_col: str = "doc_id", text_col: str = "text", group_rows: int = GROUP_ROWS, group_grams: int = GROUP_GRAMS) -> DataFrame:
-    """doc_id, n_shingles, component_id for every row of ``docs``."""
+def _linked(docs: DataFrame, n: int, percent: int, id_col: str, text_col: str, group_rows: int, group_grams: int, every: bool) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Each row's doc_id, n_shingles and class; each class's first_id; and links of classes."""
     spark = docs.sparkSession
     bounded_batches(spark)
     rows = texts(docs, id_col, text_col)
     levels = frequency_levels(rows, n)
     heads = rows.mapInArrow(_prefixes(n, percent, levels), "doc_id long, n_shingles long, class binary, prefix array<long>")
     heads = materialize(heads, "prefixes")
-    slim = heads.select("doc_id", "n_shingles", "class")
-
     one = heads.filter("n_shingles > 0").groupBy("class").agg(F.min("doc_id").alias("first_id"), F.first("n_shingles").alias("n_shingles"))
     members = materialize(group_members(heads.filter("n_shingles > 0"), one, percent), "members")
     release(spark)
@@ -341,10 +345,15 @@ def jaccard_classes(docs: DataFrame, n: int = 4, percent: int = 85, id_col: str
     wanted = one.withColumn("cid", short("class")).join(places, "cid").select(F.col("first_id").alias("wanted_id"), "class", "places")
     bodies = rows.join(wanted, F.col("doc_id").eqNullSafe(F.col("wanted_id")))
     sets = bodies.select("text", "class", "places").mapInArrow(_sets(n), "hub long, i int, j int, class binary, grams array<long>")
-    links = sets.groupBy("hub", "i", "j").applyInArrow(_join_group(percent), "a binary, b binary")
+    links = sets.groupBy("hub", "i", "j").applyInArrow(_join_group(percent, every), "a binary, b binary")
     links = materialize(links, "links")
     release(spark)
+    return heads.select("doc_id", "n_shingles", "class"), one, links
 
+
+def jaccard_classes(docs: DataFrame, n: int = 4, percent: int = 85, id_col: str = "doc_id", text_col: str = "text", group_rows: int = GROUP_ROWS, group_grams: int = GROUP_GRAMS) -> DataFrame:
+    """doc_id, n_shingles, component_id for every row of ``docs``."""
+    slim, one, links = _linked(docs, n, percent, id_col, text_col, group_rows, group_grams, every=False)
     roots = components(links)
     named = one.select("class", "first_id").join(roots, one["class"] == roots["node"], "left")
     named = named.select("class", "first_id", F.coalesce("root", "class").alias("root"))
@@ -354,6 +363,25 @@ def jaccard_classes(docs: DataFrame, n: int = 4, percent: int = 85, id_col: str
     return out.select("doc_id", "n_shingles", F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
 
 
+def jaccard_links(docs: DataFrame, n: int = 4, percent: int = 85, id_col: str = "doc_id", text_col: str = "text", group_rows: int = GROUP_ROWS, group_grams: int = GROUP_GRAMS) -> DataFrame:
+    """(a, b, a_id, b_id): every linked pair of different sets once, by class and by its smallest document.
+
+    As many rows as there are such pairs: the square of a group's size where all are alike.
+    """
+    _, one, links = _linked(docs, n, percent, id_col, text_col, group_rows, group_grams, every=True)
+    first = lambda side: one.select(F.col("class").alias(side), F.col("first_id").alias(f"{side}_id"))
+    return links.distinct().join(first("a"), "a").join(first("b"), "b").select("a", "b", "a_id", "b_id")
+
+
+def link_counts(docs: DataFrame, n: int = 4, percent: int = 85, id_col: str = "doc_id", text_col: str = "text", group_rows: int = GROUP_ROWS, group_grams: int = GROUP_GRAMS) -> DataFrame:
+    """doc_id, n_links for every row of ``docs``: how many other distinct sets its set is linked to."""
+    slim, _, links = _linked(docs, n, percent, id_col, text_col, group_rows, group_grams, every=True)
+    links = links.distinct()
+    ends = links.select(F.col("a").alias("class")).unionAll(links.select(F.col("b").alias("class")))
+    counted = ends.groupBy("class").agg(F.count("*").alias("n_links"))
+    return slim.join(counted, "class", "left").select("doc_id", F.coalesce("n_links", F.lit(0)).alias("n_links"))
+
+
 SQL = """
 with recursive d as (
   select row_number() over () as r, doc_id,

@@ -75,6 +75,29 @@ def test_jaccard_classes(spark, n, percent, group_rows, group_grams):
     assert got == brute_classes(cases.pairs(docs), n, percent)
 
 
+@pytest.mark.parametrize("group_rows", [2000, 3])
+def test_every_link(spark, group_rows):
+    rng = random.Random(9)
+    base = cases.prose(rng, 60).split()
+    extra = []
+    for k in range(30):
+        words = [*base]
+        for _ in range(rng.randint(0, 3)):
+            words[rng.randrange(60)] = rng.choice(cases.WORDS)
+        extra.append((100 + k, " ".join(words)))
+    docs = cases.documents(spark, extra=extra)
+    rows = cases.pairs(docs)
+    sets = [shingles(t, 2) for _, t in rows]
+    distinct = list({s for s in sets if s})
+    linked = lambda a, b: 100 * len(a & b) >= 60 * len(a | b)
+    first = lambda s: min(d for (d, _), own in zip(rows, sets) if own == s and d is not None)
+    want = sorted(tuple(sorted((first(a), first(b)))) for i, a in enumerate(distinct) for b in distinct[:i] if linked(a, b))
+    got = sorted(tuple(sorted((r.a_id, r.b_id))) for r in ngramjoin.jaccard_links(docs, 2, 60, group_rows=group_rows).collect())
+    assert got == want and len(want) > 100
+    counts = sorted(map(tuple, ngramjoin.link_counts(docs, 2, 60, group_rows=group_rows).collect()), key=str)
+    assert counts == sorted(((d, sum(linked(s, o) for o in distinct if o != s) if s else 0) for (d, _), s in zip(rows, sets)), key=str)
+
+
 def test_jaccard_of_nothing(spark):
     assert ngramjoin.jaccard_classes(cases.empty(spark)).count() == 0
 
