@@ -12,21 +12,23 @@ or "ll"), which two pieces more always hold.
 Chunks are remembered in each worker (``MEMO_CHUNKS``), not in a table of the whole
 corpus: that would shuffle all texts and all ids, more than encoding again costs.
 
-Defined results: null and empty texts have no ids; texts that cannot be split safely
-(see ``codec``) are encoded whole; repeated rows are encoded alike; an empty table gives
+Defined results: null and empty texts have no ids; texts with
+a special token's opening are encoded whole, words with signs that ``codec`` does not split by
+the library, and the rest of their texts in chunks; repeated rows are encoded alike; an empty table gives
 no rows; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import hashlib
+import re
 from bisect import bisect_left
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from kinfold.llm.codec import Codec, codec, ends, read_tokenizer
+from kinfold.llm.codec import SAFE, Codec, codec, ends, read_tokenizer
 from kinfold.llm.common import bounded_batches, texts
 
 WINDOW = 48
@@ -34,6 +36,7 @@ MASK = 10  # bits: chunks of about 2**10 characters
 HEAD = 8
 OPEN = 2  # pieces at the end of a text that what follows may change
 MEMO_CHUNKS = 20_000
+JOINT = re.compile(r"[!-~\u00a1-\u012f\u0131-\u017f](?=[ \t\n\r])")
 BASE = 0x9E3779B97F4A7C15 | 1
 
 
@@ -74,6 +77,27 @@ def cuts(text: str, window: int = WINDOW, mask: int = MASK) -> list[int]:
     return found
 
 
+def stretches(text: str) -> list[tuple[str, bool]]:
+    """``text`` in parts, and which of them the codec splits by itself.
+
+    A part with other signs runs from one space after a safe sign to another: a piece never
+    goes from other signs on to a space, and none looks past it.
+    """
+    if SAFE.fullmatch(text):
+        return [(text, True)]
+    out, begin, safe = [], 0, True
+    for end in [*(m.end() for m in JOINT.finditer(text)), len(text)]:
+        if begin < end:
+            part = text[begin:end]
+            own = SAFE.fullmatch(part) is not None
+            if out and own == safe:
+                out[-1].append(part)
+            else:
+                out.append([part])
+            safe, begin = own, end
+    return [(t, SAFE.fullmatch(t) is not None) for t in map("".join, out)]
+
+
 class Chunk:
     """Ids of a chunk by itself, and where its first pieces end and its last two begin."""
 
@@ -104,8 +128,12 @@ class Reuse:
     def encode(self, text: str) -> bytes:
         if not text:
             return b""
-        if not self.tool.splits(text) or self.tool.lower:
+        if not self.tool.divides(text):
             return self.tool.encode(text)
+        return b"".join([self.plain(part) if safe else self.tool.whole(part) for part, safe in stretches(text)])
+
+    def plain(self, text: str) -> bytes:
+        """Ids of a text that the pattern splits here."""
         last = cuts(text, mask=self.mask)
         if len(last) == 1:
             return self.tool.encode(text)

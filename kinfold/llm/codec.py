@@ -77,6 +77,10 @@ class Codec:
         """Whether ``text`` may be split here."""
         return self.pattern is not None and SAFE.fullmatch(text) is not None and not any(o in text for o in self.openings)
 
+    def divides(self, text: str) -> bool:
+        """Whether parts of ``text`` may be encoded by themselves, cut before spaces that follow other signs."""
+        return self.pattern is not None and not self.lower and not any(o in text for o in self.openings)
+
     def pieces(self, text: str) -> list[str]:
         return self.pattern.findall(text.lower() if self.lower else text)
 

@@ -52,6 +52,19 @@ def test_joins_at_contractions(monkeypatch):
     assert not wrong
 
 
+def test_chunks_around_other_signs():
+    tool = codec.Codec(codec.read_tokenizer(public_tokenizers.path("byte_bpe_50k.json")))
+    rng = random.Random(7)
+    signs = ["a", "they're", " ", "  ", "\n", "'", "1", "é", ".", "“", "–", "\u00a0", "\u2003", "я", "文", "🙂", "e\u0301", "\x85", "\x1c", "\x0b", "\u3000", "²"]
+    texts = ["".join(rng.choice(signs) for _ in range(rng.randint(1, 60))) for _ in range(3000)]
+    reuse = chunkreuse.Reuse(tool, 2)
+    assert not [t for t in texts if reuse.encode(t) != tool.whole(t)]
+    reuse = chunkreuse.Reuse(tool, 5)
+    prose = cases.prose(random.Random(4), 2000)
+    reuse.encode(f"{prose} “quoted” {prose}")
+    assert len(reuse.memo) > 10
+
+
 def test_equal_passages_share_chunks():
     passage = cases.prose(random.Random(1), 800)
     parts = []
