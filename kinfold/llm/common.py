@@ -1,7 +1,8 @@
 """Shared plumbing of the training-data operators.
 
 Intermediate tables are written to the shared folder the session names in
-``spark.checkpoint.dir``, so that a lost executor costs a reread and not a rerun.
+``spark.checkpoint.dir``, so that a lost executor costs a reread and not a rerun. They are
+deleted as soon as nothing reads them any more (``discard``).
 """
 
 from __future__ import annotations
@@ -9,33 +10,70 @@ from __future__ import annotations
 import gc
 import tempfile
 import uuid
+import weakref
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 BATCH_ROWS = 1000
 BATCH_BYTES = 8 << 20
+ROW = ["kinfold_file", "kinfold_row"]
+
+
+#: Where the tables of ``materialize`` are, for ``discard``.
+_STORED: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
 
 
 def work_dir(spark: SparkSession) -> str:
-    """The shared folder for intermediate tables; a local one only where none is configured."""
+    """The shared folder for intermediate tables.
+
+    Where none is configured a local folder serves a session in one process (``local[...]``);
+    on a cluster that is an error, because other executors could not read it.
+    """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not found:
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="kinfold-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
 
+def new_path(spark: SparkSession, tag: str) -> str:
+    return f"{work_dir(spark)}/{spark.sparkContext.applicationId}-{tag}-{uuid.uuid4().hex}"
+
+
 def materialize(df: DataFrame, tag: str) -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and return the reread table."""
     spark = df.sparkSession
-    path = f"{work_dir(spark)}/{spark.sparkContext.applicationId}-{tag}-{uuid.uuid4().hex}"
+    path = new_path(spark, tag)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _STORED[out] = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables of ``materialize`` that no plan still to be run reads."""
+    for df in tables:
+        path = _STORED.pop(df, None)
+        if path is not None:
+            delete(df.sparkSession, path)
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def bounded_batches(spark: SparkSession) -> None:
-    """Keep Arrow batches to Python small enough for very long texts."""
+    """Keep Arrow batches to Python small enough for very long texts.
+
+    One setting for all operators: the limit in bytes also holds for wide rows, so none
+    lowers the number of rows for itself and leaves it so for the next.
+    """
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
@@ -44,14 +82,27 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Only id (long) and text, whatever other columns there are; a null text is empty."""
+def texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] | list[str] = ()) -> DataFrame:
+    """Only id (long), text and what is to be kept, whatever other columns there are; a null text is empty."""
     return docs.select(
         F.col(id_col).cast("long").alias("doc_id"),
         F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"),
+        *keep,
     )
 
 
+def with_rows(df: DataFrame) -> DataFrame:
+    """``df`` with two more columns, ``ROW``, which tell a row of the files it reads from all others, whatever the rows hold.
+
+    A table that is not read from files is written to the shared folder first.
+    """
+    place = [F.xxhash64("_metadata.file_path").alias(ROW[0]), F.col("_metadata.row_index").alias(ROW[1])]
+    try:
+        return df.select("*", *place)
+    except AnalysisException:
+        return materialize(df, "rows").select("*", *place)
+
+
 def held_out(doc_id: Column, mod: int, remainder: int) -> Column:
     """True for the rows whose labels are never learned; a null id counts as held out."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % mod == remainder, F.lit(True))

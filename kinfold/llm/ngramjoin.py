@@ -1,45 +1,55 @@
 """N-gram Jaccard join by prefix trees, and the classes of documents it links.
 
 1. Equal sets meet first: a set's digest is its class, so copies cost one row each.
-2. A global order puts n-grams that a count sketch over all documents shows to be
-   frequent last, and the rest by hash. Two sets that reach the threshold share an
-   n-gram among the first ``n - ceil(threshold * n) + 1`` of each, and ``k`` of them among
-   the first ``k - 1`` more. These prefixes meet by n-gram; runs of sizes too far apart to
-   link are told apart, and n-grams that no two sets share there are gone, as are sets
-   with fewer than ``k`` left, ``k`` being a tenth of the smallest size that may link.
+2. A global order tells n-grams that a count sketch over all documents shows to be
+   frequent from others, which differ by hash. Two sets that reach the threshold share an
+   n-gram among the first ``n - ceil(threshold * n) + 1`` of each, rare ones first, and ``k``
+   of them among the first ``k - 1`` more. These prefixes meet by n-gram; runs of sizes too
+   far apart to link are told apart, and n-grams that no two sets share there are gone, as
+   are sets with fewer than ``k`` left, ``k`` being a tenth of the smallest size that may link.
+   Counts by n-gram and class of size do this, so a frequent n-gram is summed up before it
+   is shuffled, and no task gets all rows of one.
 3. Each remaining run gathers at its smallest class. There the whole sets form a prefix
-   tree, ordered by frequency within the group so that near copies share long paths.
-   Each set walks the tree, sharing the overlap counted so far, and leaves a subtree when
-   what is left of it cannot reach the threshold. Where only classes are wanted, sets already
-   linked by way of others are not compared again; ``jaccard_links`` compares all. Groups above ``group_rows`` sets or ``group_grams`` n-grams are
-   dealt as pairs of blocks.
-4. Links become classes by large-star and small-star steps.
+   tree in the global order, frequent n-grams first, so that near copies share long paths.
+   The tree is walked once, with the overlaps of all sets so far at every node; a subtree is
+   left when none of them can reach the threshold in what is left of it.
+4. A group above ``group_rows`` sets or ``group_grams`` n-grams is cut into blocks, each with
+   the group's smallest class. Sets that a block links to it are one component; only those
+   left over are compared with the other blocks. A group of near copies so costs in
+   proportion to its size. ``jaccard_links`` wants all pairs and compares all blocks.
+5. Links become classes by large-star and small-star steps.
 
 No pair is dropped for size: the prefix rule, the length rule and the tree's bound only
 skip pairs that cannot link. n-grams and sets are told by hashes of 64 and 128 bits.
 
 Defined results: null, empty and blank texts have an empty set, link with nothing and are
 their own class; fewer words than n make one n-gram; repeated rows are one class; a null
-id counts as larger than any; an empty table gives no rows; other columns are ignored.
+id counts as larger than any; an empty table gives no rows; other columns are ignored, and
+kept by ``keep_first``, where of a class the row with the smallest id stays, of rows with
+that id the first in the files, and every row without words.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from kinfold.llm.common import bounded_batches, materialize, release, texts
+from kinfold.llm.common import ROW, bounded_batches, discard, materialize, release, texts, with_rows
 
 SKETCH_BITS = 20
 SKETCH_ROWS = 256
-GROUP_ROWS = 2000
-GROUP_GRAMS = 2_000_000
+SKETCH_SALTS = 64
+GROUP_ROWS = 200
+REST_TIMES = 4
+GROUP_GRAMS = 1_000_000
 SLACK = 10  # longer prefixes by a tenth of the set
 FOLD = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 _WORDS: dict[bytes, int] = {}
@@ -90,20 +100,29 @@ def _sketch(n: int):
                 np.add.at(seen, ngrams(text, n) >> np.uint64(64 - SKETCH_BITS), 1)
         _WORDS.clear()  # workers live on, and later stages need the memory
         rows = seen.reshape(SKETCH_ROWS, -1)
-        yield pa.RecordBatch.from_arrays([pa.array(range(SKETCH_ROWS), pa.int32()), pa.array([r.tobytes() for r in rows], pa.binary())], ["part", "counts"])
+        salt = TaskContext.get().partitionId() % SKETCH_SALTS
+        columns = [pa.array(range(SKETCH_ROWS), pa.int32()), pa.array([salt] * SKETCH_ROWS, pa.int32()), pa.array([r.tobytes() for r in rows], pa.binary())]
+        yield pa.RecordBatch.from_arrays(columns, ["part", "salt", "counts"])
 
     return run
 
 
 def _add(table: pa.Table) -> pa.Table:
-    total = sum(np.frombuffer(b, dtype=np.int64) for b in table.column("counts").to_pylist())
-    return pa.table({"part": pa.array([table.column("part")[0].as_py()], pa.int32()), "counts": pa.array([total.tobytes()], pa.binary())})
+    total = np.zeros((1 << SKETCH_BITS) // SKETCH_ROWS, dtype=np.int64)
+    for b in table.column("counts"):
+        total += np.frombuffer(b.as_buffer(), dtype=np.int64)
+    first = {c: [table.column(c)[0].as_py()] for c in ("part", "salt")}
+    return pa.table({"part": pa.array(first["part"], pa.int32()), "salt": pa.array(first["salt"], pa.int32()), "counts": pa.array([total.tobytes()], pa.binary())})
 
 
 def frequency_levels(rows: DataFrame, n: int) -> np.ndarray:
-    """For each of 2**20 ranges of hashes, how far beyond the mean its n-grams are counted, in powers of two."""
-    parts = rows.select("text").mapInArrow(_sketch(n), "part int, counts binary").groupBy("part").applyInArrow(_add, "part int, counts binary")
-    found = {r.part: np.frombuffer(r.counts, dtype=np.int64) for r in parts.collect()}
+    """For each of 2**20 ranges of hashes, how far beyond the mean its n-grams are counted, in powers of two.
+
+    Added up in two steps, so that no task gets a table from each task of the corpus.
+    """
+    kind = "part int, salt int, counts binary"
+    some = rows.select("text").mapInArrow(_sketch(n), kind).groupBy("part", "salt").applyInArrow(_add, kind)
+    found = {r.part: np.frombuffer(r.counts, dtype=np.int64) for r in some.groupBy("part").applyInArrow(_add, kind).collect()}
     if not found:
         return np.zeros(1 << SKETCH_BITS, dtype=np.uint8)
     counts = np.concatenate([found[k] for k in range(SKETCH_ROWS)])
@@ -116,7 +135,8 @@ def core(size: int, percent: int) -> int:
 
 
 def _prefixes(n: int, percent: int, levels: np.ndarray):
-    kinds = [pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64())]
+    kinds = [pa.int64(), pa.binary(), pa.list_(pa.int64())]
+    own = ["doc_id", *ROW]
 
     def run(batches):
         for batch in batches:
@@ -131,109 +151,124 @@ def _prefixes(n: int, percent: int, levels: np.ndarray):
                 first = grams[np.argsort(level, kind="stable")[: core(size, percent) + size // SLACK]]
                 rows.append((size, digest(grams), first.view(np.int64)))
             columns = list(zip(*rows)) or [()] * 3
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(c, t) for c, t in zip(columns, kinds[1:]))], ["doc_id", "n_shingles", "class", "prefix"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in own), *(pa.array(c, t) for c, t in zip(columns, kinds))], [*own, "n_shingles", "class", "prefix"])
+        _WORDS.clear()
 
     return run
 
 
 def _sets(n: int):
-    """(hub, i, j, class, grams): a chosen document's set for each group that wants it."""
-    names = ["hub", "i", "j", "class", "grams"]
-    kinds = [pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.list_(pa.int64())]
+    """(hub, i, j, whole, class, grams): a chosen document's set for each group that wants it."""
+    names = ["hub", "i", "j", "whole", "class", "grams"]
+    kinds = [pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.binary(), pa.list_(pa.int64())]
 
     def run(batches):
         for batch in batches:
             for row in batch.select(["text", "class", "places"]).to_pylist():
                 grams = ngrams(row["text"], n)
-                if digest(grams) != row["class"]:
-                    continue  # another text of the same id
                 for at in range(0, len(row["places"]), 64):
                     part = row["places"][at : at + 64]
-                    body = pa.array([grams.view(np.int64)] * len(part), kinds[4])
-                    keys = [pa.array([p[c] for p in part], t) for c, t in zip(names[:3], kinds)]
-                    yield pa.RecordBatch.from_arrays([*keys, pa.array([row["class"]] * len(part), kinds[3]), body], names)
+                    body = pa.array([grams.view(np.int64)] * len(part), kinds[5])
+                    keys = [pa.array([p[c] for p in part], t) for c, t in zip(names[:4], kinds)]
+                    yield pa.RecordBatch.from_arrays([*keys, pa.array([row["class"]] * len(part), kinds[4]), body], names)
+        _WORDS.clear()
 
     return run
 
 
-def ranked(sets: list[np.ndarray]) -> tuple[np.ndarray, int]:
-    """All n-grams of ``sets`` as places in one order, most frequent first, and how many places there are.
+def ranked(sets: list[np.ndarray], levels: np.ndarray) -> tuple[np.ndarray, int]:
+    """All n-grams of ``sets`` as places in the global order, frequent first, and how many places there are.
 
     Numbers of 32 bits, and no copy is kept longer than needed: this is the peak of a group's memory.
     """
-    flat = np.concatenate(sets)
+    flat = np.concatenate(sets).view(np.uint64)
     by_value = np.argsort(flat)
     flat = flat[by_value]
     new = np.ones(len(flat), dtype=bool)
     new[1:] = flat[1:] != flat[:-1]
-    del flat
     number = np.cumsum(new, dtype=np.int32)
     number -= 1
-    counts = np.bincount(number).astype(np.int32)
-    rank = np.empty(len(counts), dtype=np.int32)
-    rank[np.argsort(-counts, kind="stable")] = np.arange(len(counts), dtype=np.int32)
+    level = levels[flat[new] >> np.uint64(64 - SKETCH_BITS)].astype(np.int16)
+    del flat
+    rank = np.empty(len(level), dtype=np.int32)
+    rank[np.argsort(-level, kind="stable")] = np.arange(len(level), dtype=np.int32)
     out = np.empty(len(number), dtype=np.int32)
     out[by_value] = rank[number]
-    return out, len(counts)
+    return out, len(level)
 
 
 class PrefixTree:
     """Sets as paths in one order; neighbours in sorted order share the path up to ``shared``."""
 
-    def __init__(self, sets: list[np.ndarray]):
-        sizes = np.array([len(s) for s in sets])
-        ranks, self.width = ranked(sets)
-        paths = np.split(ranks, np.cumsum(sizes)[:-1])
+    def __init__(self, sets: list[np.ndarray], levels: np.ndarray):
+        self.sizes = np.array([len(s) for s in sets])
+        ranks, width = ranked(sets, levels)
+        paths = np.split(ranks, np.cumsum(self.sizes)[:-1])
         for path in paths:
             path.sort()
         self.order = sorted(range(len(paths)), key=lambda i: paths[i].astype(">u4").tobytes())
         self.paths = [paths[i] for i in self.order]
-        self.shared = [0] * len(paths)
+        self.sizes = self.sizes[self.order]
+        self.shared = [0] * (len(paths) + 1)
         for k in range(1, len(paths)):
             a, b = self.paths[k - 1], self.paths[k]
             m = min(len(a), len(b))
             differ = np.flatnonzero(a[:m] != b[:m])
             self.shared[k] = int(differ[0]) if len(differ) else m
-
-    def links(self, percent: int, skip) -> list[tuple[int, int]]:
-        """Linked pairs of sets by number; ``skip(i, j, None)`` tells those not to compare, ``skip(i, j, True)`` records a link."""
-        out = []
-        inside = np.zeros(self.width, dtype=bool)
-        for x in range(1, len(self.paths)):
-            mine = self.paths[x]
-            inside[mine] = True
-            path, misses, known, dead = None, None, 0, None  # the last path walked and how far its misses are counted
-            for y in range(x):
-                if y:
-                    known = min(known, self.shared[y])
-                other = self.paths[y]
-                small, large = sorted((len(mine), len(other)))
-                if 100 * small < percent * large:
-                    continue
-                need = -(-percent * (small + large) // (100 + percent))
-                may = len(other) - need
-                if dead is not None and known >= dead[0] and dead[1] > may:
-                    continue  # the subtree below has missed too much already
-                if skip(self.order[x], self.order[y], None):
-                    continue
-                tail = np.cumsum(~inside[other[known:]])
-                before = int(misses[known - 1]) if known else 0
-                misses = np.concatenate([misses[:known], tail + before]) if known else tail
-                path, known = other, len(other)
-                if len(other) and misses[-1] > may:
-                    at = int(np.searchsorted(misses, may, side="right")) + 1
-                    dead = (at, int(misses[at - 1]))
-                    continue
-                dead = None
-                out.append((self.order[y], self.order[x]))
-                skip(self.order[x], self.order[y], True)
-            inside[mine] = False
-        return out
-
-
-def _join_group(percent: int, every: bool = False):
-    """Links of a group: all of them with ``every``, else those that join its classes."""
-    kinds = [("a", pa.binary()), ("b", pa.binary())]
+        # For each n-gram the sets that have it.
+        flat = np.concatenate(self.paths)
+        by_rank = np.argsort(flat, kind="stable")
+        self.owners = np.repeat(np.arange(len(paths), dtype=np.int32), self.sizes)[by_rank]
+        self.heads = np.concatenate([[0], np.cumsum(np.bincount(flat, minlength=width))])
+
+    def overlaps(self, grams: np.ndarray) -> np.ndarray:
+        """How many of ``grams`` each set has."""
+        begin = self.heads[grams]
+        many = self.heads[grams + 1] - begin
+        at = np.repeat(begin - (np.cumsum(many) - many), many) + np.arange(int(many.sum()))
+        return np.bincount(self.owners[at], minlength=len(self.paths))
+
+    def links(self, percent: int):
+        """Yields each set with those linked to it, by their numbers in ``order``.
+
+        At a node the overlaps of its path with all sets are known, from the node above and the
+        owners of the n-grams between; what the next path shares is kept. A set whose path has
+        too little left for any other is left there, and so are all below the same node.
+        """
+        m = len(self.paths)
+        stack = [(0, np.zeros(m, dtype=np.int64))]
+        for x, path in enumerate(self.paths):
+            while stack[-1][0] > self.shared[x]:
+                stack.pop()
+            depth, have = stack[-1]
+            need = -(-percent * (self.sizes + len(path)) // (100 + percent))
+            stays, step = self.shared[x + 1], 16
+            while True:
+                may = have + np.minimum(len(path) - depth, self.sizes - have) >= need
+                may[x] = False
+                if depth == len(path) or not may.any():
+                    break
+                to = min(len(path), depth + step)
+                if depth < stays < to:
+                    to = stays
+                have = have + self.overlaps(path[depth:to])
+                depth, step = to, 2 * step
+                if depth <= stays:
+                    stack.append((depth, have))
+            if depth == len(path) and may.any():
+                yield x, np.flatnonzero(may)
+
+
+LINKS = "a binary, b binary, hub long, rest boolean"
+
+
+def _join_group(percent: int, levels: np.ndarray, every: bool = False):
+    """Links of a group: all of them with ``every``, else those that join its components.
+
+    Without ``every`` also a row with ``rest`` for each class that is not in the component of the
+    group's smallest, for groups of several blocks.
+    """
+    kinds = [("a", pa.binary()), ("b", pa.binary()), ("hub", pa.int64()), ("rest", pa.bool_())]
 
     def run(table: pa.Table) -> pa.Table:
         seen: dict[bytes, np.ndarray] = {}
@@ -244,29 +279,25 @@ def _join_group(percent: int, every: bool = False):
                 if c not in seen:
                     seen[c] = values[ends[k] : ends[k + 1]]
         classes = sorted(seen)
-        root = list(range(len(classes)))
-
-        def find(i: int) -> int:
-            while root[i] != i:
-                root[i] = root[root[i]]
-                i = root[i]
-            return i
-
-        def skip(i: int, j: int, link) -> bool:
-            a, b = find(i), find(j)
-            if link and a != b:
-                root[max(a, b)] = min(a, b)
-            return a == b
-
-        tree = PrefixTree([seen[c] for c in classes]) if len(classes) > 1 else None
+        tree = PrefixTree([seen[c] for c in classes], levels) if len(classes) > 1 else None
+        names = [classes[i] for i in tree.order] if tree else classes
+        hub = table.column("hub")[0].as_py()
+        rows: list[tuple] = []
         if every:
-            found = tree.links(percent, lambda i, j, link: False) if tree else []
-            pairs = [(classes[min(p)], classes[max(p)]) for p in found]
-            return pa.table({name: pa.array([p[k] for p in pairs], kind) for k, (name, kind) in enumerate(kinds)})
-        if tree:
-            tree.links(percent, skip)
-        pairs = [(classes[find(i)], classes[i]) for i in range(len(classes)) if find(i) != i]
-        return pa.table({name: pa.array([p[k] for p in pairs], kind) for k, (name, kind) in enumerate(kinds)})
+            for x, linked in tree.links(percent) if tree else ():
+                rows += [(min(names[x], names[y]), max(names[x], names[y]), hub, False) for y in linked[linked < x].tolist()]
+        else:
+            root = np.arange(len(names))
+            for x, linked in tree.links(percent) if tree else ():
+                met = np.unique(np.append(root[linked], root[x]))
+                if len(met) > 1:
+                    root[np.isin(root, met)] = met[0]
+            rows += [(names[r], names[i], hub, False) for i, r in enumerate(root.tolist()) if i != r]
+            if table.column("whole")[0].as_py() is False:
+                centre = [i for i, c in enumerate(names) if short_of(c) == hub]
+                inside = np.isin(root, root[centre])
+                rows += [(names[i], names[i], hub, True) for i in np.flatnonzero(~inside).tolist()]
+        return pa.table({name: pa.array([r[k] for r in rows], kind) for k, (name, kind) in enumerate(kinds)})
 
     return run
 
@@ -291,91 +322,174 @@ def components(links: DataFrame, tag: str = "stars") -> DataFrame:
         after = materialize(after.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), tag)
         both_ends = after.select(F.col("a").alias("x")).distinct().join(after.select(F.col("b").alias("x")).distinct(), "x", "left_semi")
         twice = after.groupBy("b").count().filter("count > 1")
+        discard(edges)
         edges = after
         if both_ends.isEmpty() and twice.isEmpty():
             return edges.select(F.col("b").alias("node"), F.col("a").alias("root"))
 
 
 def short(name: str):
-    """64 bits of a class, to gather by; classes that share them only meet needlessly."""
+    """60 bits of a class, to gather by; classes that share them only meet needlessly."""
     return F.conv(F.substring(F.hex(name), 1, 15), 16, 10).cast("long")
 
 
+def short_of(name: bytes) -> int:
+    return int(name.hex()[:15], 16)
+
+
+def runs(grams: DataFrame, percent: int) -> DataFrame:
+    """gram, band, k, hub: for each n-gram and class of sizes the sets within reach, and their smallest class.
+
+    Sizes that may link are in the same or neighbouring bands. An n-gram has few bands, so the
+    window over them is small however many sets have it.
+    """
+    counted = grams.groupBy("gram", "band").agg(F.count("*").alias("n"), F.min("cid").alias("least"))
+    by_band = W.partitionBy("gram").orderBy("band")
+    again = counted.withColumn("again", F.coalesce(F.lag("band").over(by_band) < F.col("band") - 1, F.lit(True)).cast("int"))
+    numbered = again.withColumn("run", F.sum("again").over(by_band.rowsBetween(W.unboundedPreceding, 0)))
+    near = F.sum("n").over(by_band.rangeBetween(-1, 1))
+    run = W.partitionBy("gram", "run")
+    return numbered.select("gram", "band", near.alias("k"), F.min("least").over(run).alias("hub")).filter("k > 1")
+
+
 def group_members(heads: DataFrame, one: DataFrame, percent: int) -> DataFrame:
     """(hub, cid, size): the groups in which each class's set must be compared."""
-    chosen = heads.join(one.select("class", "first_id"), "class").filter("doc_id <=> first_id")
+    chosen = heads.join(one.select(*(F.col(f"first.{c}").alias(c) for c in ROW)), ROW, "left_semi")
     head = F.expr(f"n_shingles - ({percent} * n_shingles + 99) div 100 + 1")
-    grams = chosen.select(short("class").alias("cid"), F.col("n_shingles").cast("int").alias("size"), head.alias("head"), F.posexplode("prefix").alias("at", "gram"))
-    grams = grams.select("gram", "cid", "size", (F.col("at") < F.col("head")).alias("core"))
-
-    # Sizes run up within a gram; a gap that no link can cross starts a new run.
-    by_size = W.partitionBy("gram").orderBy("size", "cid")
-    near = F.coalesce(F.lag("size").over(by_size) * 100 >= F.col("size") * percent, F.lit(False))
-    ahead = F.coalesce(F.lead("size").over(by_size) * percent <= F.col("size") * 100, F.lit(False))
-    live = grams.withColumns({"near": near, "ahead": ahead}).filter("near or ahead")
+    # A band is as wide as a link's sizes may be apart, so links are within a band or between neighbours.
+    width = max(1e-6, math.log(100 / percent) * (1 + 1e-9))
+    band = F.floor(F.log(F.col("n_shingles").cast("double")) / F.lit(width)).cast("int")
+    grams = chosen.select(short("class").alias("cid"), F.col("n_shingles").cast("int").alias("size"), band.alias("band"), head.alias("head"), F.posexplode("prefix").alias("at", "gram"))
+    grams = grams.select("gram", "cid", "size", "band", (F.col("at") < F.col("head")).alias("core"))
+    live = grams.join(runs(grams, percent).select("gram", "band"), ["gram", "band"])
     shared = F.count("*").over(W.partitionBy("cid"))
     least = F.expr(f"1 + ({percent} * size + 99) div 100 div {SLACK}")
-    live = live.withColumn("shared", shared).filter((F.col("shared") >= least) & F.col("core"))
-    again = F.coalesce(F.lag("size").over(by_size) * 100 < F.col("size") * percent, F.lit(True))
-    live = live.withColumn("again", again.cast("int"))
-    live = live.withColumn("run", F.sum("again").over(by_size.rowsBetween(W.unboundedPreceding, 0)))
-    run = W.partitionBy("gram", "run")
-    hubs = live.withColumns({"hub": F.min("cid").over(run), "k": F.count("*").over(run)}).filter("k > 1")
-    return hubs.select("hub", "cid", "size").distinct()
+    live = live.withColumn("shared", shared).filter((F.col("shared") >= least) & F.col("core")).select("gram", "cid", "size", "band")
+    live = materialize(live, "shared")
+    members = materialize(live.join(runs(live, percent).select("gram", "band", "hub"), ["gram", "band"]).select("hub", "cid", "size").distinct(), "members")
+    discard(live)
+    return members
+
+
+def blocks_of(members: DataFrame, group_rows: int, group_grams: int) -> DataFrame:
+    """hub, blocks: into how many blocks a group is cut."""
+    blocks = F.greatest(F.ceil(F.count("*") / group_rows), F.ceil(F.sum("size") / group_grams)).cast("int")
+    return members.groupBy("hub").agg(blocks.alias("blocks"))
+
+
+def dealt(members: DataFrame, blocks: DataFrame) -> DataFrame:
+    """``members`` of the groups of ``blocks`` with ``own``, their block; by group and class, so a large group is many tasks."""
+    return members.join(blocks, "hub").withColumn("own", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int"))
+
+
+def stars(members: DataFrame, group_rows: int, group_grams: int) -> DataFrame:
+    """cid, hub, i, j, whole: each block of a group with the group's smallest class."""
+    rows = dealt(members, blocks_of(members, group_rows, group_grams))
+    whole = (F.col("blocks") == 1).alias("whole")
+    blocks = rows.select("cid", "hub", F.col("own").alias("i"), F.lit(0).alias("j"), whole)
+    centre = rows.filter("cid = hub and blocks > 1").withColumn("i", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).filter("i <> own")
+    return blocks.unionAll(centre.select("cid", "hub", "i", F.lit(0).alias("j"), whole))
+
+
+def block_pairs(members: DataFrame, group_rows: int, group_grams: int) -> DataFrame:
+    """cid, hub, i, j, whole: every two blocks of a group."""
+    rows = dealt(members, blocks_of(members, group_rows, group_grams))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    return rows.select("cid", "hub", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), F.lit(True).alias("whole"))
 
 
-def _linked(docs: DataFrame, n: int, percent: int, id_col: str, text_col: str, group_rows: int, group_grams: int, every: bool) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Each row's doc_id, n_shingles and class; each class's first_id; and links of classes."""
-    spark = docs.sparkSession
+def rest_pairs(members: DataFrame, rest: DataFrame, rest_rows: int, group_grams: int) -> DataFrame:
+    """cid, hub, i, j, whole: the blocks of a group's left-over classes, each with every block of the group."""
+    left = members.join(rest, ["hub", "cid"], "left_semi")
+    few = blocks_of(left, rest_rows, group_grams)
+    all_of = blocks_of(members.join(few.select("hub"), "hub", "left_semi"), rest_rows, group_grams)
+    own = dealt(left, few).join(all_of.select("hub", F.col("blocks").alias("others")), "hub").withColumn("j", F.explode(F.sequence(F.lit(0), F.col("others") - 1)))
+    other = dealt(members, all_of).join(few.select("hub", F.col("blocks").alias("others")), "hub").withColumn("i", F.explode(F.sequence(F.lit(0), F.col("others") - 1)))
+    names = ["cid", "hub", "i", "j"]
+    both = own.withColumn("i", F.col("own")).select(*names).unionAll(other.withColumn("j", F.col("own")).select(*names))
+    return both.distinct().withColumn("whole", F.lit(True))
+
+
+def joined(rows: DataFrame, one: DataFrame, places: DataFrame, n: int, percent: int, levels: np.ndarray, every: bool) -> DataFrame:
+    """What ``_join_group`` finds when the sets of the classes gather at their places."""
+    lists = places.groupBy("cid").agg(F.collect_list(F.struct("hub", "i", "j", "whole")).alias("places"))
+    wanted = one.withColumn("cid", short("class")).join(lists, "cid").select(*(F.col(f"first.{c}").alias(c) for c in ROW), "class", "places")
+    bodies = rows.join(wanted, ROW)
+    sets = bodies.select("text", "class", "places").mapInArrow(_sets(n), "hub long, i int, j int, whole boolean, class binary, grams array<long>")
+    return materialize(sets.groupBy("hub", "i", "j").applyInArrow(_join_group(percent, levels, every), LINKS), "links")
+
+
+def _linked(rows: DataFrame, n: int, percent: int, group_rows: int, group_grams: int, every: bool) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Each row's doc_id, place, n_shingles and class; each class's first place; and links of classes."""
+    spark = rows.sparkSession
     bounded_batches(spark)
-    rows = texts(docs, id_col, text_col)
     levels = frequency_levels(rows, n)
-    heads = rows.mapInArrow(_prefixes(n, percent, levels), "doc_id long, n_shingles long, class binary, prefix array<long>")
-    heads = materialize(heads, "prefixes")
-    one = heads.filter("n_shingles > 0").groupBy("class").agg(F.min("doc_id").alias("first_id"), F.first("n_shingles").alias("n_shingles"))
-    members = materialize(group_members(heads.filter("n_shingles > 0"), one, percent), "members")
+    place = ", ".join(f"{c} long" for c in ROW)
+    heads = materialize(rows.mapInArrow(_prefixes(n, percent, levels), f"doc_id long, {place}, n_shingles long, class binary, prefix array<long>"), "prefixes")
+    slim = materialize(heads.drop("prefix"), "classes")
+    one = slim.filter("n_shingles > 0").groupBy("class").agg(F.min(F.struct(*ROW)).alias("first"))
+    members = group_members(heads.filter("n_shingles > 0"), one, percent)
+    discard(heads)
     release(spark)
-
-    blocks = F.greatest(F.ceil(F.count("*") / group_rows), F.ceil(F.sum("size") / group_grams)).cast("int")
-    dealt = members.join(members.groupBy("hub").agg(blocks.alias("blocks")), "hub")
-    dealt = dealt.withColumn("own", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int"))
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    place = F.struct("hub", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
-    places = dealt.groupBy("cid").agg(F.collect_list(place).alias("places"))
-    wanted = one.withColumn("cid", short("class")).join(places, "cid").select(F.col("first_id").alias("wanted_id"), "class", "places")
-    bodies = rows.join(wanted, F.col("doc_id").eqNullSafe(F.col("wanted_id")))
-    sets = bodies.select("text", "class", "places").mapInArrow(_sets(n), "hub long, i int, j int, class binary, grams array<long>")
-    links = sets.groupBy("hub", "i", "j").applyInArrow(_join_group(percent, every), "a binary, b binary")
-    links = materialize(links, "links")
+    if every:
+        found = joined(rows, one, block_pairs(members, group_rows, group_grams), n, percent, levels, True)
+        discard(members)
+        return slim, one, found.select("a", "b")
+    found = joined(rows, one, stars(members, group_rows, group_grams), n, percent, levels, False)
     release(spark)
-    return heads.select("doc_id", "n_shingles", "class"), one, links
+    links = found.filter("not rest").select("a", "b")
+    rest = found.filter("rest").select("hub", short("a").alias("cid")).distinct()
+    if not rest.isEmpty():
+        more = joined(rows, one, rest_pairs(members, rest, REST_TIMES * group_rows, group_grams), n, percent, levels, False)
+        links = links.unionAll(more.select("a", "b"))
+        release(spark)
+    discard(members)
+    return slim, one, links
+
+
+def _named(slim: DataFrame, links: DataFrame) -> DataFrame:
+    """class, root: the component of each class."""
+    classes = slim.filter("n_shingles > 0").select("class").distinct()
+    roots = components(links)
+    return classes.join(roots, classes["class"] == roots["node"], "left").select("class", F.coalesce("root", "class").alias("root"))
 
 
 def jaccard_classes(docs: DataFrame, n: int = 4, percent: int = 85, id_col: str = "doc_id", text_col: str = "text", group_rows: int = GROUP_ROWS, group_grams: int = GROUP_GRAMS) -> DataFrame:
     """doc_id, n_shingles, component_id for every row of ``docs``."""
-    slim, one, links = _linked(docs, n, percent, id_col, text_col, group_rows, group_grams, every=False)
-    roots = components(links)
-    named = one.select("class", "first_id").join(roots, one["class"] == roots["node"], "left")
-    named = named.select("class", "first_id", F.coalesce("root", "class").alias("root"))
+    slim, _, links = _linked(with_rows(texts(docs, id_col, text_col)), n, percent, group_rows, group_grams, every=False)
+    ids = slim.filter("n_shingles > 0").groupBy("class").agg(F.min("doc_id").alias("first_id"))
+    named = _named(slim, links).join(ids, "class")
     least = named.groupBy("root").agg(F.min("first_id").alias("component_id"))
     final = named.join(least, "root").select("class", "component_id")
     out = slim.join(final, "class", "left")
     return out.select("doc_id", "n_shingles", F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
 
 
+def keep_first(docs: DataFrame, n: int = 5, percent: int = 80, group_rows: int = GROUP_ROWS, group_grams: int = GROUP_GRAMS) -> DataFrame:
+    """The rows of ``docs``, all columns as they are, without those that an earlier row of their class stands for."""
+    keyed = with_rows(docs)
+    slim, _, links = _linked(texts(keyed, keep=ROW), n, percent, group_rows, group_grams, every=False)
+    rows = slim.filter("n_shingles > 0").join(_named(slim, links), "class")
+    order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", *ROW)
+    kept = rows.groupBy("root").agg(F.min(order).alias("kept")).select(*(F.col(f"kept.{c}").alias(c) for c in ROW))
+    gone = rows.select(*ROW).join(kept, ROW, "left_anti")
+    return keyed.join(gone, ROW, "left_anti").drop(*ROW)
+
+
 def jaccard_links(docs: DataFrame, n: int = 4, percent: int = 85, id_col: str = "doc_id", text_col: str = "text", group_rows: int = GROUP_ROWS, group_grams: int = GROUP_GRAMS) -> DataFrame:
     """(a, b, a_id, b_id): every linked pair of different sets once, by class and by its smallest document.
 
     As many rows as there are such pairs: the square of a group's size where all are alike.
     """
-    _, one, links = _linked(docs, n, percent, id_col, text_col, group_rows, group_grams, every=True)
-    first = lambda side: one.select(F.col("class").alias(side), F.col("first_id").alias(f"{side}_id"))
+    slim, _, links = _linked(with_rows(texts(docs, id_col, text_col)), n, percent, group_rows, group_grams, every=True)
+    ids = slim.filter("n_shingles > 0").groupBy("class").agg(F.min("doc_id").alias("first_id"))
+    first = lambda side: ids.select(F.col("class").alias(side), F.col("first_id").alias(f"{side}_id"))
     return links.distinct().join(first("a"), "a").join(first("b"), "b").select("a", "b", "a_id", "b_id")
 
 
 def link_counts(docs: DataFrame, n: int = 4, percent: int = 85, id_col: str = "doc_id", text_col: str = "text", group_rows: int = GROUP_ROWS, group_grams: int = GROUP_GRAMS) -> DataFrame:
     """doc_id, n_links for every row of ``docs``: how many other distinct sets its set is linked to."""
-    slim, _, links = _linked(docs, n, percent, id_col, text_col, group_rows, group_grams, every=True)
+    slim, _, links = _linked(with_rows(texts(docs, id_col, text_col)), n, percent, group_rows, group_grams, every=True)
     links = links.distinct()
     ends = links.select(F.col("a").alias("class")).unionAll(links.select(F.col("b").alias("class")))
     counted = ends.groupBy("class").agg(F.count("*").alias("n_links"))

@@ -1,7 +1,8 @@
 import hashlib
 import random
+import time
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
@@ -102,19 +103,68 @@ def test_jaccard_of_nothing(spark):
     assert ngramjoin.jaccard_classes(cases.empty(spark)).count() == 0
 
 
+LEVELS = np.zeros(1 << ngramjoin.SKETCH_BITS, dtype=np.uint8)
+
+
+def tree_pairs(sets, percent, levels=LEVELS):
+    tree = ngramjoin.PrefixTree(sets, levels)
+    return sorted((tree.order[x], tree.order[y]) for x, linked in tree.links(percent) for y in linked.tolist())
+
+
 def test_prefix_tree_finds_all_pairs():
     rng = np.random.default_rng(3)
-    for _ in range(20):
+    for _ in range(40):
         base = rng.integers(0, 50, 30)
-        sets = [np.unique(np.where(rng.random(30) < 0.1, rng.integers(0, 60, 30), base)) for _ in range(25)]
-        got = {tuple(sorted(p)) for p in ngramjoin.PrefixTree(sets).links(70, lambda i, j, link: False)}
-        want = set()
-        for i in range(25):
-            for j in range(i):
+        sets = [np.unique(np.where(rng.random(30) < 0.1, rng.integers(0, 60, 30), base)[: rng.integers(1, 31)]) for _ in range(25)]
+        sets = [s.astype(np.int64) << 44 for s in {tuple(s): s for s in sets}.values()]
+        levels = rng.integers(0, 3, 1 << ngramjoin.SKETCH_BITS).astype(np.uint8)
+        want = []
+        for i in range(len(sets)):
+            for j in range(len(sets)):
                 both = len(np.intersect1d(sets[i], sets[j]))
-                if 100 * both >= 70 * (len(sets[i]) + len(sets[j]) - both):
-                    want.add((j, i))
-        assert got == want
+                if i != j and 100 * both >= 70 * (len(sets[i]) + len(sets[j]) - both):
+                    want.append((i, j))
+        assert tree_pairs(sets, 70, levels) == want
+
+
+def test_unlinked_sets_are_left_early():
+    rng = np.random.default_rng(1)
+    sets = [np.unique(rng.integers(0, 2**62, 60)) for _ in range(2000)]
+    began = time.process_time()
+    assert tree_pairs(sets, 85) == []
+    assert time.process_time() - began < 2
+
+
+@pytest.mark.parametrize("group_rows", [200, 5])
+def test_one_row_of_each_class_stays(spark, group_rows):
+    rng = random.Random(9)
+    base = cases.prose(rng, 60)
+    near = base.replace("alpha", "omega", 1) + " end"
+    extra = [(1, base), (1, base), (2, base), (2, cases.prose(rng, 50)), (None, near), (None, near), (None, None), (None, cases.prose(rng, 40))]
+    for k in range(30):
+        words = base.split()
+        for _ in range(rng.randint(0, 2)):
+            words[rng.randrange(60)] = rng.choice(cases.WORDS)
+        extra.append((100 + k, " ".join(words)))
+    docs = cases.documents(spark, extra=extra)
+    rows = cases.pairs(docs)
+    sets = [shingles(t, 5) for _, t in rows]
+    root = list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in range(i):
+            both = len(sets[i] & sets[j])
+            if sets[i] and sets[j] and 100 * both >= 80 * (len(sets[i]) + len(sets[j]) - both):
+                old, new = root[i], root[j]
+                root = [new if r == old else r for r in root]
+    kept = ngramjoin.keep_first(docs, group_rows=group_rows)
+    assert kept.columns == docs.columns
+    got = cases.pairs(kept)
+    classes = [r for r, s in zip(root, sets) if s]
+    blank = [r for r, s in zip(rows, sets) if not s]
+    assert len(got) == len(set(classes)) + len(blank)
+    smallest = Counter(min((d for (d, _), r in zip(rows, root) if r == k and d is not None), default=None) for k in set(classes))
+    assert Counter(d for d, _ in got) == smallest + Counter(d for d, _ in blank)
+    assert not Counter(got) - Counter(rows)
 
 
 def test_components(spark):
@@ -177,40 +227,57 @@ def test_suffix_array_and_anchors():
         assert all(any(p <= a <= p + 12 for a in at) for p in range(len(raw) - 19))
 
 
-def brute_contaminated(rows, items):
+def brute_contaminated(rows, items, reach=posindex.REACH):
     windows = defaultdict(set)
     for item_id, text in items:
         words = posindex.words(text or "")
         for k in range(max(1, len(words) - 12)) if words else ():
             windows[tuple(words[k : k + 13])].add(str(item_id))
+    total = Counter(w for _, text in rows for w in posindex.words(text))
+    rarest = {win: min((total[w], w) for w in win)[1] for win in windows if all(total[w] for w in win)}
     out = []
     for doc_id, text in rows:
-        words, hit, found = posindex.words(text), set(), set()
+        words, hit, found, near = posindex.words(text), set(), set(), set()
         for n in {len(w) for w in windows}:
             for p in range(len(words) - n + 1):
                 owners = windows.get(tuple(words[p : p + n]))
                 if owners:
                     hit |= set(range(p, p + n))
                     found |= owners
+        for win, rare in rarest.items():
+            if any(w == rare and set(win) <= set(words[max(0, p - reach) : p + reach + 1]) for p, w in enumerate(words)):
+                near |= windows[win]
         sha = hashlib.sha256(",".join(sorted(found)).encode()).hexdigest()
-        out.append((doc_id, len(words), len(hit), len(found), sha, len(hit) > 0 and 20 * len(hit) >= len(words)))
+        out.append((doc_id, len(words), len(hit), len(found), sha, len(hit) > 0 and 20 * len(hit) >= len(words), len(near)))
     return sorted(out, key=str)
 
 
-@pytest.mark.parametrize("block_bytes", [1 << 24, 64])
-def test_contamination(spark, block_bytes, monkeypatch):
+@pytest.mark.parametrize("block_windows", [1 << 24, 5])
+def test_contamination(spark, block_windows, monkeypatch):
     monkeypatch.setattr(posindex, "SEGMENT_WORDS", 150)
     rng = random.Random(6)
-    items = [(k, cases.prose(rng, rng.choice([1, 3, 12, 13, 20, 40]))) for k in range(12)] + [(50, None), (51, ""), (52, "word")]
+    items = [(k, cases.prose(rng, rng.choice([1, 3, 12, 13, 20, 40]))) for k in range(12)] + [(50, None), (51, ""), (52, "word"), (None, "alpha")]
     extra = [(200 + k, f"{cases.prose(rng, k)} {items[k % 12][1].title()}, {cases.prose(rng, 9 * k)}") for k in range(12)]
     docs = cases.documents(spark, extra=extra)
     bench = spark.createDataFrame(items, "item_id long, text string")
-    hits = posindex.phrase_hits(posindex.build_index(docs), bench, block_bytes=block_bytes)
-    got = hits.mapInArrow(posindex._digest, "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean")
-    assert sorted(map(tuple, got.collect()), key=str) == brute_contaminated(cases.pairs(docs), items)
-    assert posindex.contamination(cases.empty(spark), bench).count() == 0
-    none = posindex.contamination(docs, bench.limit(0)).filter("n_hit > 0 or contaminated").count()
-    assert none == 0
+    got = posindex.contamination(docs, bench, block_windows=block_windows)
+    assert sorted(map(tuple, got.collect()), key=str) == brute_contaminated(cases.pairs(docs), [i for i in items if i[0] is not None])
+    kept = posindex.drop_contaminated(docs, bench)
+    bad = {r[0] for r in got.filter("contaminated").select("doc_id").collect()}
+    assert kept.columns == docs.columns and len(bad) > 5
+    assert Counter(cases.pairs(kept)) == Counter(r for r, b in zip(cases.pairs(docs), brute_flags(cases.pairs(docs), [i for i in items if i[0] is not None])) if not b)
+    if block_windows > 5:
+        assert posindex.contamination(cases.empty(spark), bench).count() == 0
+        none = posindex.contamination(docs, bench.limit(0)).filter("n_hit > 0 or contaminated or n_near > 0").count()
+        assert none == 0
+
+
+def brute_flags(rows, items):
+    total = brute_contaminated(rows, items)
+    flags = {(r[0], r[1], r[2]): r[5] for r in total}
+    assert len({(r[0], r[1]) for r in total}) == len(flags)
+    by_size = {(r[0], r[1]): r[5] for r in total}
+    return [by_size[d, len(posindex.words(t))] for d, t in rows]
 
 
 def test_proximity(spark):
