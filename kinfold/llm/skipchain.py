@@ -1,26 +1,29 @@
 """Personal data: fixed patterns, and a skip-chain conditional random field over a document.
 
 The fixed patterns give the base spans. The field's nodes are those spans (their labels
-are given), what the patterns found and refused, and other tokens that look like
-identifiers: many digits, an at sign, or the name before one. Neighbouring nodes share a
-chain potential; nodes with the same or a similar normal form (digits alone, or letters in
-lower case) share a skip potential wherever in the document they stand, and loopy belief
-propagation passes messages until the labels of the document agree. A node that comes out
-as personal data with a probability of ``sure`` adds a span; base spans always stay.
-
-Weights come from at most ``max_sampled`` documents: node potentials by multinomial
-logistic regression on the base labels, chain and skip potentials by the (smoothed) odds
-of agreement of linked nodes. Every document is searched, over its whole text. Equal
-forms are linked one to the next, so a document has no more than a few links a node.
+are given), what the patterns found and refused, other tokens with an at sign or seven
+digits, and the name before an address's at sign wherever it stands again (of six signs or
+more, with a dot, underscore or digit: plainer names are words as well). Neighbouring nodes
+share a chain potential; nodes with the same normal form, name or last nine digits share a
+skip potential wherever in the document they stand, and loopy belief propagation passes
+messages until the labels of the document agree. A node that comes out as personal data
+with a probability of ``sure`` adds a span; base spans always stay.
+
+The weights of nodes, chains and skips are learned together by pseudo-likelihood: each
+node's label given its shape and the labels of its neighbours, over at most ``max_sampled``
+documents. The labels are the patterns' own; names have none and are left out of it. Each
+kind of row counts as often as it stands in the sample. Every document is searched, over
+its whole text, in time linear in it: a node is linked to the last one of each of its keys.
 
 Defined results: null and empty texts have no spans; repeated rows are treated alike; an
-empty table gives no rows; other columns are ignored.
+empty table gives no rows; other columns are ignored, and kept by ``redact``.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left
 from dataclasses import dataclass
 
 import numpy as np
@@ -33,14 +36,17 @@ from kinfold.llm.common import bounded_batches, texts
 KINDS = ("email", "ip", "card", "phone")
 OTHER = len(KINDS)
 MAX_SAMPLED = 2000
-SKIP_PRIOR = 60  # agreeing links that equal forms are credited with beforehand
+REACH = 200  # characters between chained nodes
+LINKS = (0.2, 4.0)  # chain and skip weight that the ridge pulls to: without data neighbours say little, equal forms much
 LOCAL = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-"
 DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+")
 IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
 CARD = re.compile(r"[0-9](?:[ -]?[0-9])++")
 PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 SIGN = re.compile(r"[0-9@+]")
-TOKEN = re.compile(r"\S*[0-9@]\S*")
+TOKEN = re.compile(r"\S+")
+HINT = re.compile(r"[0-9@]")
+NAME = re.compile(r"[A-Za-z0-9._%+-]+")
 EDGE = ".,;:!?\"'()[]{}<>|*&$#="
 NOT_DIGIT = re.compile(r"[^0-9]")
 Span = tuple[int, int, int]  # start, kind, end
@@ -143,54 +149,74 @@ def normal(piece: str) -> str:
     return digits if len(digits) >= 7 and not any(c.isalpha() for c in piece) else piece.strip(EDGE).lower()
 
 
+class Cover:
+    """What a set of intervals covers, as disjoint runs."""
+
+    def __init__(self, spans):
+        self.begins: list[int] = []
+        self.ends: list[int] = []
+        for a, b in sorted(spans):
+            if self.ends and a < self.ends[-1]:
+                self.ends[-1] = max(self.ends[-1], b)
+            else:
+                self.begins.append(a)
+                self.ends.append(b)
+
+    def free(self, a: int, b: int) -> bool:
+        k = bisect_left(self.begins, b)
+        return k == 0 or self.ends[k - 1] <= a
+
+
+def local_part(form: str) -> str:
+    return form.split("@")[0].lower()
+
+
 def nodes(text: str) -> list[Node]:
     """Of a document with something to decide; none where the base spans are all there is to see."""
     kept, refused = base_spans(text)
-    spans = [(a, b, k) for a, k, b in kept]
-    taken = sorted((a, b) for a, b, _ in spans)
-
-    def free(a: int, b: int) -> bool:
-        lo = int(np.searchsorted([x for x, _ in taken], b)) if taken else 0
-        return not any(x < b and a < y for x, y in taken[max(0, lo - 4) : lo])
-
-    extra: dict[tuple[int, int], None] = {(a, b): None for a, _, b in refused if free(a, b)}
+    taken = Cover((a, b) for a, _, b in kept)
+    extra = {(a, b): None for a, _, b in refused if taken.free(a, b)}
     if SIGN.search(text):
+        around = Cover([*((a, b) for a, _, b in kept), *extra])
         for m in TOKEN.finditer(text):
-            piece = m.group().strip(EDGE)
-            a = m.start() + m.group().find(piece) if piece else 0
-            digits = len(NOT_DIGIT.sub("", piece))
-            if piece and (digits >= 7 or "@" in piece) and free(a, a + len(piece)) and not any(x < a + len(piece) and a < y for x, y in extra):
-                extra[(a, a + len(piece))] = None
-    names = {text[a:b].split("@")[0].lower() for a, b, k in spans if k == 0}
-    names = sorted(n for n in names if len(n) >= 6 and any(c in "._0123456789" for c in n))
+            piece = m.group()
+            if HINT.search(piece) is None:
+                continue
+            bare = piece.strip(EDGE)
+            a = m.start() + piece.find(bare)
+            if bare and ("@" in bare or len(NOT_DIGIT.sub("", bare)) >= 7) and around.free(a, a + len(bare)):
+                extra[(a, a + len(bare))] = None
+    names = {local_part(text[a:b]) for a, k, b in kept if k == 0}
+    names = {n for n in names if len(n) >= 6 and any(c in "._0123456789" for c in n)}
     if names:
-        low = text.lower()
-        if len(low) == len(text):
-            for m in re.finditer(r"(?<![\w.%+-])(?:" + "|".join(map(re.escape, names)) + r")(?![\w@%+-])", low):
-                if free(m.start(), m.end()):
-                    extra[(m.start(), m.end())] = None
-    found = [Node(a, b, k, normal(text[a:b]), shape(text[a:b])) for a, b, k in spans]
+        for m in NAME.finditer(text):
+            a, b = m.start(), m.start() + len(m.group().rstrip("."))
+            after = text[m.end() : m.end() + 1]
+            if text[a:b].lower() in names and after != "@" and not after.isalnum() and not text[a - 1 : a].isalnum() and taken.free(a, b):
+                extra[(a, b)] = None
+    found = [Node(a, b, k, normal(text[a:b]), shape(text[a:b])) for a, k, b in kept]
     found += [Node(a, b, None, normal(text[a:b]), shape(text[a:b])) for a, b in extra]
     return sorted(found, key=lambda x: (x.start, x.end))
 
 
 def skips(found: list[Node]) -> list[tuple[int, int]]:
-    """Links between equal forms (each to the next), and from a form to one that holds it."""
-    last: dict[str, int] = {}
-    links = []
+    """Links from each node to the last before it with the same form, name or nine last digits."""
+    last: dict[tuple[str, str], int] = {}
+    links = set()
     for i, node in enumerate(found):
-        if node.form in last:
-            links.append((last[node.form], i))
-        last[node.form] = i
-    local = {f.split("@")[0]: i for f, i in last.items() if "@" in f}
-    tail = {f[-9:]: i for f, i in last.items() if f.isdigit() and len(f) >= 10}
-    for f, i in last.items():
-        other = local.get(f) if "@" not in f else None
-        if other is None and f.isdigit() and len(f) >= 9:
-            other = tail.get(f[-9:])
-        if other is not None and other != i:
-            links.append((min(i, other), max(i, other)))
-    return sorted(set(links))
+        keys = [("form", node.form), ("name", local_part(node.form))]
+        if node.form.isdigit() and len(node.form) >= 9:
+            keys.append(("digits", node.form[-9:]))
+        for key in keys:
+            if key in last:
+                links.add((last[key], i))
+            last[key] = i
+    return sorted(links)
+
+
+def chains(found: list[Node], reach: int) -> list[tuple[int, int]]:
+    """Neighbours with no more than ``reach`` characters between them."""
+    return [(i, i + 1) for i in range(len(found) - 1) if found[i + 1].start - found[i].end <= reach]
 
 
 @dataclass
@@ -198,7 +224,7 @@ class Field:
     weights: np.ndarray  # shapes x labels
     chain: float
     skip: float
-    reach: int = 200  # characters between chained nodes
+    reach: int = REACH
 
     def marginals(self, found: list[Node], rounds: int = 12, damping: float = 0.3) -> np.ndarray:
         """Label probabilities of each node by damped sum-product message passing."""
@@ -208,8 +234,7 @@ class Field:
             if x.label is not None:
                 own[i] = -30.0
                 own[i, x.label] = 0.0
-        pairs = [(i, i + 1, self.chain) for i in range(n - 1) if found[i + 1].start - found[i].end <= self.reach]
-        pairs += [(i, j, self.skip) for i, j in skips(found)]
+        pairs = [(i, j, self.chain) for i, j in chains(found, self.reach)] + [(i, j, self.skip) for i, j in skips(found)]
         own -= own.max(axis=1, keepdims=True)
         if not pairs:
             p = np.exp(own)
@@ -250,45 +275,59 @@ class Field:
         return base, sorted({*base, *added})
 
 
-def fit(rows: list[tuple[list[float], int]], links: dict[str, tuple[int, int]], steps: int = 300, rate: float = 0.5, ridge: float = 1e-3) -> Field:
+def fit(rows: list[tuple[list[float], list[float], list[float], int, int]], steps: int = 400, rate: float = 0.5, ridge: float = 1e-3) -> Field:
+    """The weights of the largest pseudo-likelihood, from (shape, chained labels, skipped labels, label, count)."""
     weights = np.zeros((len(SHAPES), OTHER + 1))
     weights[-1, OTHER] = 2.0  # without data nothing is added
+    links = np.array(LINKS)
     if rows:
-        x, y = np.array([r[0] for r in rows]), np.eye(OTHER + 1)[[r[1] for r in rows]]
+        x, near = np.array([r[0] for r in rows], dtype=float), np.array([[r[1], r[2]] for r in rows], dtype=float)
+        y, n = np.eye(OTHER + 1)[[r[3] for r in rows]], np.array([r[4] for r in rows], dtype=float)
+        n /= n.sum()
         for _ in range(steps):
-            z = x @ weights
+            z = x @ weights + np.tensordot(near, links, axes=(1, 0))
             p = np.exp(z - z.max(axis=1, keepdims=True))
             p /= p.sum(axis=1, keepdims=True)
-            weights += rate * (x.T @ (y - p) / len(x) - ridge * weights)
-    odds = lambda same, other, prior: float(np.log((same + prior) / (other + 1)))
-    return Field(weights, float(np.clip(odds(*links["chain"], 1), 0.0, 0.5)), float(np.clip(odds(*links["skip"], SKIP_PRIOR), 1.0, 4.0)))
+            miss = (y - p) * n[:, None]
+            weights += rate * (x.T @ miss - ridge * weights)
+            links = links + rate * (np.einsum("rly,ry->l", near, miss) - ridge * (links - LINKS))
+    return Field(weights, *np.maximum(links, 0.0).tolist())
 
 
 def _training(batches):
+    names = ["shape", "chain", "skip", "label"]
+    kinds = [*[pa.list_(pa.float64())] * 3, pa.int32()]
     for batch in batches:
         rows = []
         for text in batch.column("text").to_pylist():
             found = nodes(text)
-            label = [OTHER if x.label is None else x.label for x in found]
-            rows += [("node", x.shape.tolist(), y) for x, y in zip(found, label) if not x.shape[NAMED]]
-            rows += [("chain", [], int(a == b)) for a, b in zip(label, label[1:])]
-            rows += [("skip", [], int(label[i] == label[j])) for i, j in skips(found) if OTHER not in (label[i], label[j])]
-        columns = list(zip(*rows)) or [()] * 3
-        yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.string()), pa.array(columns[1], pa.list_(pa.float64())), pa.array(columns[2], pa.int32())], ["kind", "shape", "label"])
-
-
-def train(docs: DataFrame, max_sampled: int = MAX_SAMPLED, max_nodes: int = 20_000) -> Field:
-    """The field learned from the first ``max_sampled`` documents with signs, in order of a hash."""
+            seen = [None if x.shape[NAMED] and x.label is None else OTHER if x.label is None else x.label for x in found]
+            near = np.zeros((2, len(found), OTHER + 1))
+            for k, pairs in enumerate((chains(found, REACH), skips(found))):
+                for i, j in pairs:
+                    if seen[i] is not None and seen[j] is not None:
+                        near[k, i, seen[j]] += 1
+                        near[k, j, seen[i]] += 1
+            rows += [(x.shape.tolist(), near[0, i].tolist(), near[1, i].tolist(), seen[i]) for i, x in enumerate(found) if seen[i] is not None]
+        columns = list(zip(*rows)) or [()] * 4
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names)
+
+
+def train(docs: DataFrame, max_sampled: int = MAX_SAMPLED) -> Field:
+    """The field learned from the first ``max_sampled`` documents with signs, in order of a hash.
+
+    Equal rows are counted before they come to the driver: there are no more different ones
+    than shapes and neighbours' labels, as a node has two chained and few skipped neighbours.
+    """
     bounded_batches(docs.sparkSession)
     rows = texts(docs).filter("text rlike '[0-9@]'")
     order = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))
     picked = rows.select("doc_id").distinct().orderBy(order, "doc_id").limit(max_sampled)
     sample = rows.join(F.broadcast(picked), "doc_id").select("text")
-    counted = sample.mapInArrow(_training, "kind string, shape array<double>, label int").groupBy("kind", "shape", "label").count()
-    found = counted.orderBy(F.desc("count"), "kind", "shape", "label").limit(max_nodes).collect()
-    links = {k: tuple(sum(r["count"] for r in found if r.kind == k and r.label == same) for same in (1, 0)) for k in ("chain", "skip")}
-    nodes_seen = [(r.shape, r.label) for r in found if r.kind == "node" for _ in range(min(r["count"], 200))]
-    return fit(nodes_seen, links)
+    kinds = ["shape", "chain", "skip", "label"]
+    counted = sample.mapInArrow(_training, "shape array<double>, chain array<double>, skip array<double>, label int").groupBy(*kinds).count()
+    found = sorted((r.shape, r.chain, r.skip, r.label, r["count"]) for r in counted.collect())
+    return fit(found)
 
 
 def listed(spans: list[Span]) -> str:
@@ -296,8 +335,8 @@ def listed(spans: list[Span]) -> str:
 
 
 def finder(field: Field):
-    names = ["doc_id", *(f"n_{k}" for k in KINDS), "base_sha256", "spans", "n_added"]
-    kinds = [*[pa.int64()] * len(KINDS), pa.string(), pa.string(), pa.int64()]
+    names = ["doc_id", *(f"n_{k}" for k in KINDS), "base_sha256", "spans", "n_added", "n_spans"]
+    kinds = [*[pa.int64()] * len(KINDS), pa.string(), pa.string(), pa.int64(), pa.int64()]
 
     def run(batches):
         for batch in batches:
@@ -305,7 +344,7 @@ def finder(field: Field):
             for text in batch.column("text").to_pylist():
                 base, spans = field.spans(text)
                 counts = [sum(k == j for _, k, _ in base) for j in range(len(KINDS))]
-                rows.append((*counts, hashlib.sha256(listed(base).encode()).hexdigest(), listed(spans), len(spans) - len(base)))
+                rows.append((*counts, hashlib.sha256(listed(base).encode()).hexdigest(), listed(spans), len(spans) - len(base), len(spans)))
             columns = list(zip(*rows)) or [()] * len(kinds)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(c, t) for c, t in zip(columns, kinds))], names)
 
@@ -313,9 +352,9 @@ def finder(field: Field):
 
 
 def personal_data(docs: DataFrame, max_sampled: int = MAX_SAMPLED) -> DataFrame:
-    """doc_id, base counts, base_sha256, all spans and the number added, for every row of ``docs``."""
+    """doc_id, base counts, base_sha256, all spans, the number added and of all, for every row of ``docs``."""
     field = train(docs, max_sampled)
-    schema = "doc_id long, " + ", ".join(f"n_{k} long" for k in KINDS) + ", base_sha256 string, spans string, n_added long"
+    schema = "doc_id long, " + ", ".join(f"n_{k} long" for k in KINDS) + ", base_sha256 string, spans string, n_added long, n_spans long"
     return texts(docs).mapInArrow(finder(field), schema)
 
 
