@@ -2,13 +2,13 @@
 
 The array of a block of text: suffixes smaller than their successors are sorted
 directly, eight bytes at a time and ever fewer of them; the others are induced by one
-scan over the buckets of first bytes. Neighbours in the array that share ``length``
+scan over the buckets of first bytes, a whole bucket at a time. Neighbours in the array that share ``length``
 bytes are occurrences of one string, and all but the earliest are repeats.
 
 A corpus is not one array. Of every window of ``length`` bytes the smallest hash of the
 ``gram``-byte strings in it is an anchor, so equal windows have equal anchors at equal
 places. Anchors that occur in one place only (copies of a text aside) are gone after one
-exchange. The text around the others is sent once to where the first document with the
+sum by anchor, which a frequent one enters added up by task. The text around the others is sent once to where the first document with the
 same anchor gathers its kin, and an array is built there. A repeat found in any of the
 arrays is one, and each repeat shares an array with an earlier occurrence, so the result
 is that of one array over everything. Copies of whole texts are found by their digests.
@@ -20,7 +20,9 @@ texts around anchors and to remove.
 Defined results: null and empty texts have nothing to remove; a null id counts as
 smaller than any; rows with the same id and text are one document, and are all treated
 like the first; of rows with the same id and different texts, each is a document, in
-order of their crc32; an empty table gives no rows; other columns are ignored.
+order of their crc32 (then of another hash); an empty table gives no rows; other columns
+are ignored. Texts of one id are told by 63 bits, whole texts by sha256, anchors by 64 bits
+and their bytes.
 """
 
 from __future__ import annotations
@@ -29,12 +31,11 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kinfold.llm.chunkreuse import Roller
-from kinfold.llm.common import bounded_batches, materialize, release, texts
+from kinfold.llm.common import bounded_batches, discard, materialize, release, texts
 from kinfold.llm.ngramjoin import mixed
 
 LENGTH = 100
@@ -101,24 +102,31 @@ def suffix_array(text: np.ndarray, depth: int) -> np.ndarray:
         return np.empty(0, dtype=np.int64)
     small = ascending(text)
     direct = sorted_directly(np.flatnonzero(small), words_at(text), depth)
-    counts = np.bincount(text, minlength=256)
-    heads = np.concatenate([[0], np.cumsum(counts)[:-1]])
-    n_small = np.bincount(text[direct], minlength=256)
-    array = np.full(n, -1, dtype=np.int64)
-    first = heads + counts - n_small
-    offset = np.arange(len(direct)) - np.repeat(np.cumsum(n_small) - n_small, n_small)
-    array[np.repeat(first, n_small) + offset] = direct
-    found, head, large, codes = array.tolist(), heads.tolist(), (~small).tolist(), text.tolist()
-    last = codes[-1]
-    found[head[last]] = n - 1
-    head[last] += 1
-    for k in range(n):
-        s = found[k] - 1
-        if s >= 0 and large[s]:
-            c = codes[s]
-            found[head[c]] = s
-            head[c] += 1
-    return np.array(found, dtype=np.int64)
+    large = ~small
+    ends = np.cumsum(np.bincount(text[direct], minlength=256))
+    begun: list[list[np.ndarray]] = [[] for _ in range(256)]  # induced so far, by first byte
+    begun[text[-1]].append(np.array([n - 1]))
+    out: list[np.ndarray] = []
+    for c in np.flatnonzero(np.bincount(text, minlength=256)).tolist():
+        new = np.concatenate(begun[c]) if begun[c] else np.empty(0, dtype=np.int64)
+        bucket = []
+        while len(new):  # a suffix before one of its own bucket comes after all that are there
+            bucket.append(new)
+            before = new - 1
+            before = before[before >= 0]
+            new = before[large[before] & (text[before] == c)]
+        bucket.append(direct[(ends[c - 1] if c else 0) : ends[c]])
+        scanned = np.concatenate(bucket)
+        before = scanned - 1
+        before = before[before >= 0]
+        before = before[large[before] & (text[before] > c)]
+        first = text[before]
+        order = np.argsort(first, kind="stable")
+        heads = np.flatnonzero(np.diff(first[order], prepend=np.int16(-1)))
+        for k, part in zip(heads.tolist(), np.split(before[order], heads[1:])):
+            begun[first[order[k]]].append(part)
+        out.append(scanned)
+    return np.concatenate(out)
 
 
 def shared(a: np.ndarray, b: np.ndarray, words: np.ndarray, length: int) -> np.ndarray:
@@ -180,8 +188,8 @@ def anchors(raw: bytes, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndar
 
 
 def _anchors(length: int, gram: int):
-    """(gram, key_id, loc, more): a row for each gram of a document, with its first place and any others."""
-    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int32())]
+    """(gram, key_id, crc, place, more): a row for each gram of a document, with its first place and any others."""
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.int32())]
 
     def run(batches):
         for batch in batches:
@@ -196,8 +204,8 @@ def _anchors(length: int, gram: int):
                     more[k] = at[heads[k] + 1 : heads[k] + sizes[k]].astype(np.int32)
                 for k in range(0, len(heads), 100_000):
                     part = heads[k : k + 100_000]
-                    columns = [hashes[part].view(np.int64), np.full(len(part), key_id, dtype=np.int64), (np.int64(crc) << 31) | at[part], more[k : k + 100_000]]
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], ["gram", "key_id", "loc", "more"])
+                    columns = [hashes[part].view(np.int64), np.full(len(part), key_id, dtype=np.int64), np.full(len(part), crc, dtype=np.int64), at[part].astype(np.int32), more[k : k + 100_000]]
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], ["gram", "key_id", "crc", "place", "more"])
 
     return run
 
@@ -286,26 +294,35 @@ def _remove(length: int):
 
 def live_anchors(keyed: DataFrame, firsts: DataFrame, length: int, gram: int, group_anchors: int) -> DataFrame:
     """key_id, crc, groups: for each first document the anchors that other places have too, by hub and slice."""
-    found = keyed.mapInArrow(_anchors(length, gram), "gram long, key_id long, loc long, more array<int>")
-    same = W.partitionBy("gram")
-    found = found.withColumns({"low": F.min("loc").over(same), "high": F.max("loc").over(same), "hub": F.min("key_id").over(same)})
-    live = found.filter("low <> high or more is not null")
-    live = live.select("gram", "key_id", F.expr("shiftright(loc, 31)").alias("crc"), F.expr(f"cast(loc & {2**31 - 1} as int)").alias("place"), "more", "hub")
-    live = materialize(live.join(firsts, ["key_id", "crc"], "left_semi"), "anchors")
+    spark = keyed.sparkSession
+    found = materialize(keyed.mapInArrow(_anchors(length, gram), "gram long, key_id long, crc long, place int, more array<int>"), "grams")
+    # Of one text and place, so that copies of a text are one; a gram that a text has twice is in two places.
+    at = F.xxhash64("crc", "place")
+    twice = F.col("more").isNotNull().cast("long")
+    sums = found.groupBy("gram").agg(F.min(at).alias("low"), F.max(at).alias("high"), F.max(twice).alias("twice"), F.min("key_id").alias("hub"))
+    shared_grams = materialize(sums.filter("low <> high or twice > 0").select("gram", "hub"), "shared")
+    release(spark)
+    live = found.join(shared_grams, "gram").join(firsts, ["key_id", "crc"], "left_semi").select("gram", "key_id", "crc", "place", "more", "hub")
+    live = materialize(live, "anchors")
+    discard(found, shared_grams)
+    release(spark)
     places = F.concat(F.array("place"), F.coalesce("more", F.array().cast("array<int>")))
     sizes = live.groupBy("hub").agg(F.ceil(F.sum(F.size(places)) / group_anchors).cast("int").alias("slices"))
-    cut = live.join(sizes, "hub").withColumn("slice", F.when(F.col("slices") > 1, F.pmod("gram", F.col("slices"))).otherwise(0).cast("int"))
+    large = materialize(sizes.filter("slices > 1"), "slices")  # few: one for ``group_anchors`` places at most
+    cut = live.join(large, "hub", "left").withColumn("slice", F.coalesce(F.pmod("gram", F.col("slices")), F.lit(0)).cast("int"))
     groups = cut.groupBy("key_id", "crc", "hub", "slice").agg(F.flatten(F.collect_list(places)).alias("places"))
-    return groups.groupBy("key_id", "crc").agg(F.collect_list(F.struct("hub", "slice", "places")).alias("groups"))
+    groups = materialize(groups.groupBy("key_id", "crc").agg(F.collect_list(F.struct("hub", "slice", "places")).alias("groups")), "live")
+    discard(live, large)
+    return groups
 
 
 def repeated_spans(keyed: DataFrame, firsts: DataFrame, length: int = LENGTH, gram: int = GRAM, group_anchors: int = GROUP_ANCHORS, block_anchors: int = BLOCK_ANCHORS) -> DataFrame:
     """key_id, crc, begins, ends: bytes of first documents that an earlier place has, as runs (several a row)."""
     spark = keyed.sparkSession
-    groups = materialize(live_anchors(keyed, firsts, length, gram, group_anchors), "live")
+    groups = live_anchors(keyed, firsts, length, gram, group_anchors)
     release(spark)
     sizes = groups.select(F.explode("groups").alias("g")).groupBy("g.hub", "g.slice").agg(F.ceil(F.sum(F.size("g.places")) / block_anchors).cast("int").alias("blocks"))
-    large = sizes.filter("blocks > 1")
+    large = materialize(sizes.filter("blocks > 1"), "blocks")
     bodies = keyed.join(groups, ["key_id", "crc"]).mapInArrow(_cut(length, gram), "hub long, slice int, key_id long, crc long, offset long, body binary")
     dealt = bodies.join(large, ["hub", "slice"], "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
     dealt = dealt.withColumn("own", F.pmod(F.xxhash64("key_id", "crc"), F.col("blocks")).cast("int"))
@@ -313,16 +330,22 @@ def repeated_spans(keyed: DataFrame, firsts: DataFrame, length: int = LENGTH, gr
     dealt = dealt.select("hub", "slice", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "key_id", "crc", "offset", "body")
     found = dealt.groupBy("hub", "slice", "i", "j").applyInArrow(_find(length), "key_id long, crc long, begins array<long>, ends array<long>")
     found = materialize(found, "spans")
+    discard(groups, large)
     release(spark)
     return found
 
 
+def text_key(raw) -> Column:
+    """63 bits of a text: its crc32, and 31 bits of another hash below."""
+    return F.shiftleft(F.crc32(raw), 31).bitwiseOR(F.xxhash64(raw).bitwiseAND(F.lit(2**31 - 1)))
+
+
 def remove_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text", **sizes) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 for every row of ``docs``."""
     bounded_batches(docs.sparkSession)
     rows = texts(docs, id_col, text_col)
     raw = F.col("text").cast("binary")
-    keyed = rows.select(F.coalesce("doc_id", F.lit(NULL_ID)).alias("key_id"), F.crc32(raw).alias("crc"), "text")
+    keyed = rows.select(F.coalesce("doc_id", F.lit(NULL_ID)).alias("key_id"), text_key(raw).alias("crc"), "text")
     keyed = keyed.filter(F.octet_length("text") >= length)
     slim = materialize(keyed.select("key_id", "crc", F.unhex(F.sha2(raw, 256)).alias("sha")).distinct(), "digests")
     least = slim.groupBy("sha").agg(F.min(F.struct("key_id", "crc")).alias("first"))
@@ -333,6 +356,6 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id"
     none = F.array().cast("array<long>")
     copies = slim.select("key_id", "crc").join(firsts, ["key_id", "crc"], "left_anti")
     marks = marks.unionByName(copies.withColumns({"begins": none, "ends": none, "copy": F.lit(True)}))
-    whole = rows.select("doc_id", F.coalesce("doc_id", F.lit(NULL_ID)).alias("key_id"), F.crc32(raw).alias("crc"), "text")
+    whole = rows.select("doc_id", F.coalesce("doc_id", F.lit(NULL_ID)).alias("key_id"), text_key(raw).alias("crc"), "text")
     joined = whole.join(marks, ["key_id", "crc"], "left").select("doc_id", "text", "begins", "ends", "copy")
     return joined.mapInArrow(_remove(length), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
