@@ -12,7 +12,7 @@ Parquet carries the chunks because Spark's committed writes survive lost executo
 reach any store. Parts are ranges of doc_id; a document is never split over chunks.
 
 Defined results: null and empty texts have the end id only; a null doc_id sorts first;
-repeated rows are kept, in order of their text; an empty table gives no rows; other
+repeated ids are kept, in order of a hash of their texts; an empty table gives no rows; other
 columns are ignored.
 """
 
@@ -29,7 +29,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from kinfold.llm.codec import codec, read_tokenizer
-from kinfold.llm.common import bounded_batches, texts, work_dir
+from kinfold.llm.common import bounded_batches, new_path, texts
 
 BLOCK_IDS = 1 << 16
 CHUNK_IDS = 1 << 18
@@ -91,9 +91,9 @@ def writer(spec: str, end_id: int, planes: str, block_ids: int, chunk_ids: int):
             return pa.RecordBatch.from_arrays([pa.array([v], t.type) for v, t in zip(row, ARROW)], schema=ARROW)
 
         for batch in batches:
-            for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
+            for doc_id, ids in zip(batch.column("doc_id").to_pylist(), tool.encode_all(batch.column("text").to_pylist())):
                 doc_ids.append(doc_id)
-                encoded.append(tool.encode(text) + tail)
+                encoded.append(ids + tail)
                 held += len(encoded[-1]) // 4
                 if held >= chunk_ids:
                     yield chunk()
@@ -108,8 +108,10 @@ def writer(spec: str, end_id: int, planes: str, block_ids: int, chunk_ids: int):
 def write_planes(docs: DataFrame, path: str, tokenizer: str, end_id: int = 1, planes: str = "byte", block_ids: int = BLOCK_IDS, chunk_ids: int = CHUNK_IDS) -> None:
     """Encode every text of ``docs`` with the tokenizer file and write the chunks to ``path``."""
     bounded_batches(docs.sparkSession)
-    # The text breaks ties, and lets many rows of one id be dealt to several parts.
-    ordered = texts(docs).repartitionByRange("doc_id", "text").sortWithinPartitions("doc_id", "text")
+    # A hash of the text breaks ties, and lets many rows of one id be dealt to several parts. The
+    # ranges are cut by a sample of these two on the driver; the texts themselves must not be in it.
+    keyed = texts(docs).withColumn("tie", F.xxhash64("text"))
+    ordered = keyed.repartitionByRange("doc_id", "tie").sortWithinPartitions("doc_id", "tie").select("doc_id", "text")
     ordered.mapInArrow(writer(read_tokenizer(tokenizer), end_id, planes, block_ids, chunk_ids), SCHEMA).write.parquet(path)
 
 
@@ -150,7 +152,7 @@ def part_starts(chunks: DataFrame) -> DataFrame:
 
 def read_documents(spark: SparkSession, path: str) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 of every document in the file."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "8")
+    bounded_batches(spark)
     chunks = spark.read.schema(SCHEMA).parquet(path)
     found = chunks.mapInArrow(_documents, "part int, doc_id long, local long, n_tokens long, ids_crc32 long")
     starts = part_starts(chunks.select("part", "n_ids"))
@@ -159,8 +161,6 @@ def read_documents(spark: SparkSession, path: str) -> DataFrame:
 
 def round_trip(docs: DataFrame, tokenizer: str, end_id: int = 1, planes: str = "byte") -> DataFrame:
     """Write the file to the shared folder and give what it holds for each document."""
-    import uuid
-
-    path = f"{work_dir(docs.sparkSession)}/planes-{uuid.uuid4().hex}"
+    path = new_path(docs.sparkSession, "planes")
     write_planes(docs, path, tokenizer, end_id, planes)
     return read_documents(docs.sparkSession, path)
