@@ -6,19 +6,19 @@ be followed by anything. Each hit is scored by the words around it: inside quota
 marks or after a verb of reporting it counts for little, beside a word of address for
 more. An additive model turns a document's hits into a score.
 
-The automaton runs once for each distinct word and only where one half of a term stands
-at its place in the word: within one edit a half must survive, so nothing is missed.
 Terms and stems of ``LEAST`` letters or more are met with one edit, of eight with two,
-neighbours exchanged being one edit; such looser hits weigh less. A word can be near only
-if it and the term become equal by leaving out as many letters as there are edits, which
-is looked up before the automaton runs.
+neighbours exchanged being one edit; such looser hits weigh less. The product of all these
+automata with the trie is made deterministic as words are read (``Product``), so a word
+costs a look-up a letter until nothing is left that it could become, and each distinct word
+of a task is read once.
 
 The lexicon is a short public list, extended by words and stems that the labelled rows
 show to be typical of label 1. Learned from at most ``max_labelled`` labelled rows
 outside the held-out fold; all rows and whole texts are scored. Defined results: null
 and empty texts are scored as texts without hits; without labels, or with one class
-only, the score is the (smoothed) share of label 1; repeated rows are scored alike; an
-empty table gives no rows; other columns are ignored.
+only, the score is the (smoothed) share of label 1; repeated rows and rows with equal texts
+are scored alike, whatever their ids; a score of exactly one half counts as toxic; an
+empty table gives no rows; other columns are ignored, and kept by ``drop_toxic``.
 """
 
 from __future__ import annotations
@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kinfold.llm import gam
-from kinfold.llm.common import bounded_batches, held_out, materialize, texts
+from kinfold.llm.common import bounded_batches, discard, held_out, materialize, texts
 from kinfold.llm.textstats import labelled
 
 MAX_LABELLED = 20_000
@@ -119,53 +119,100 @@ def intersect(trie: Trie, automaton: Levenshtein) -> tuple[str, int] | None:
     return None if best is None else (best[1], best[0])
 
 
-class Swapping(Levenshtein):
-    """The same with two neighbours exchanged as one edit; states are two rows of distances and the last letter."""
-
-    def start(self):
-        return super().start(), None, ""
-
-    def step(self, state, ch: str):
-        row, before, last = state
-        out = [row[0] + 1]
-        for k, c in enumerate(self.word):
-            least = min(out[k] + 1, row[k] + (c != ch), row[k + 1] + 1)
-            if k and before is not None and c == last and self.word[k - 1] == ch:
-                least = min(least, before[k - 1] + 1)
-            out.append(least)
-        return tuple(out), row, ch
-
-    def alive(self, state) -> bool:
-        return min(state[0]) <= self.most or state[1] is not None and min(state[1]) < self.most
-
-    def distance(self, state) -> int:
-        return state[0][-1]
-
-    def nearest_prefix(self, state) -> int:
-        return min(state[0])
-
-
 def edits(length: int) -> int:
     """How many edits a word may be away from a term of ``length`` letters."""
     return 2 if length >= 8 else 1
 
 
-def deletions(word: str, most: int) -> set[str]:
-    """``word`` without up to ``most`` of its letters: words within as many edits have one of these in common."""
-    out = new = {word}
-    for _ in range(most):
-        new = {w[:k] + w[k + 1 :] for w in new for k in range(len(w))}
-        out = out | new
-    return out
+class Product:
+    """The words within ``edits`` of a trie's terms, or that begin so with one of its stems.
 
+    A state is the set of places that the letters read so far can be at: (node, edits made,
+    letter still owed by two exchanged neighbours). States and their successors are kept
+    as they are met; letters that no term has are all one.
+    """
+
+    ACCEPTED = 1
+    MOST = 50_000  # states kept; beyond, they are made again
+
+    def __init__(self, trie: Trie):
+        self.trie = trie
+        self.letters = {ch for node in trie.next for ch in node}
+        self.room = [-1] * len(trie.next)  # edits that any term below a node allows
+        for at in reversed(range(len(trie.next))):
+            own = [edits(len(t)) for t in (trie.word[at], trie.stem[at]) if t is not None]
+            self.room[at] = max([*own, *(self.room[to] for to in trie.next[at].values())], default=-1)
+        self.clear()
+
+    def clear(self) -> None:
+        self.number: dict[frozenset, int] = {}
+        self.places: list[frozenset] = []
+        self.after: list[dict[str, int]] = []
+        self.final: list[bool] = []
+        self.state(frozenset())  # 0: nothing left
+        self.state(frozenset([(-1, 0, "")]))  # 1: a stem has been met, anything may follow
+        self.begin = self.state(self.closed([(0, 0, "")]))
+
+    def closed(self, places) -> frozenset:
+        """With the letters that the word may leave out; of places at one node the one with fewest edits."""
+        best: dict[tuple[int, str], int] = {}
+        todo = list(places)
+        while todo:
+            at, made, owed = todo.pop()
+            if made > self.room[at] or best.get((at, owed), 9) <= made:
+                continue
+            best[at, owed] = made
+            if not owed:
+                todo += [(to, made + 1, "") for to in self.trie.next[at].values()]
+        return frozenset((at, made, owed) for (at, owed), made in best.items())
+
+    def state(self, places: frozenset) -> int:
+        found = self.number.get(places)
+        if found is None:
+            found = self.number[places] = len(self.places)
+            self.places.append(places)
+            self.after.append({})
+            word = self.trie.word
+            self.final.append(any(at < 0 or not owed and word[at] is not None and made <= edits(len(word[at])) for at, made, owed in places))
+        return found
 
-def may_be(word: str, letters, most: int) -> bool:
-    """Whether ``word`` differs from one of the sets of letters by no more than ``most`` edits bring in or take away."""
-    own = set(word)
-    for one in letters:
-        if len(own - one) <= most and len(one - own) <= most:
-            return True
-    return False
+    def step(self, state: int, ch: str) -> int:
+        out = []
+        for at, made, owed in self.places[state]:
+            if owed:
+                if ch == owed:
+                    out.append((at, made, ""))
+                continue
+            below = self.trie.next[at]
+            if ch in below:
+                out.append((below[ch], made, ""))
+            out.append((at, made + 1, ""))
+            for other, to in below.items():
+                out.append((to, made + 1, ""))
+                if other != ch and ch in self.trie.next[to]:
+                    out.append((self.trie.next[to][ch], made + 1, other))
+        places = self.closed(out)
+        return self.ACCEPTED if self.has_stem(places) else self.state(places)
+
+    def has_stem(self, places) -> bool:
+        stem = self.trie.stem
+        return any(not owed and stem[at] is not None and made <= edits(len(stem[at])) for at, made, owed in places)
+
+    def accepts(self, word: str) -> bool:
+        at, after = self.begin, self.after
+        for ch in word:
+            if ch not in self.letters:
+                ch = ""
+            to = after[at].get(ch)
+            if to is None:
+                to = after[at][ch] = self.step(at, ch)
+            if to <= 1:
+                return to == 1
+            at = to
+        found = self.final[at]
+        if len(self.places) > self.MOST:
+            self.clear()
+        return found
 
 
 class Lexicon:
@@ -185,70 +232,61 @@ class Lexicon:
         self.tails = {(len(t) - len(t) // 2, t[len(t) // 2 :]) for t in long}
         self.head_sizes = sorted({n for n, _ in self.heads})
         self.tail_sizes = sorted({n for n, _ in self.tails})
-        self.memo: dict[str, int] = {}
-        self.loose_terms = [t for t in terms if least is not None and len(t) >= least]
-        self.loose_stems = [t for t in stems if least is not None and len(t) >= least]
-        self.loose_trie = Trie(self.loose_terms, self.loose_stems)
-        self.gaps = {k: {d for t in self.loose_terms if edits(len(t)) == k for d in deletions(t, k)} for k in (1, 2)}
-        self.spans = {k: {n + j for n in map(len, self.loose_terms) if edits(n) == k for j in range(-k, k + 1)} for k in (1, 2)}
-        self.letters = {k: {frozenset(t) for t in self.loose_terms if edits(len(t)) == k} for k in (1, 2)}
-        self.stem_letters = {k: {frozenset(t) for t in self.loose_stems if edits(len(t)) == k} for k in (1, 2)}
-        self.stem_gaps = {k: {d for t in self.loose_stems if edits(len(t)) == k for d in deletions(t, k)} for k in (1, 2)}
-        self.stem_spans = {k: sorted({n + j for n in map(len, self.loose_stems) if edits(n) == k for j in range(-k, k + 1)}) for k in (1, 2)}
-
-    def loose(self, word: str) -> bool:
-        """Whether ``word`` is within a term's edits, or begins with what is within a stem's."""
-        for k in (1, 2):
-            if len(word) in self.spans[k] and may_be(word, self.letters[k], k) and not self.gaps[k].isdisjoint(deletions(word, k)):
-                return self.near(word)
-            for n in self.stem_spans[k]:
-                if n <= len(word) and may_be(word[:n], self.stem_letters[k], k) and not self.stem_gaps[k].isdisjoint(deletions(word[:n], k)):
-                    return self.near(word)
-        return False
-
-    def near(self, word: str) -> bool:
-        """The automaton of ``word`` and the trie, walked together."""
-        automaton = Swapping(word, 2)
-        stack = [(0, automaton.start())]
-        while stack:
-            at, state = stack.pop()
-            term, stem = self.loose_trie.word[at], self.loose_trie.stem[at]
-            if term is not None and automaton.distance(state) <= edits(len(term)):
-                return True
-            if stem is not None and automaton.nearest_prefix(state) <= edits(len(stem)):
-                return True
-            for ch, to in self.loose_trie.next[at].items():
-                after = automaton.step(state, ch)
-                if automaton.alive(after):
-                    stack.append((to, after))
-        return False
+        self.loose = None if least is None else Product(Trie([t for t in terms if len(t) >= least], [t for t in stems if len(t) >= least]))
+        self.hit: dict[str, int] = {}  # what was met lately, and its kind
+        self.clean: set[str] = set()  # and what is no hit
 
     def kind(self, word: str) -> int:
+        loose = self.loose is not None and self.loose.accepts(word)
         if word in self.terms:
             return 1
         if self.trie.stem_of(word) is not None:
             return 3
+        if self.loose is not None and not loose and self.fuzzy >= LEAST:
+            return 0
         if len(word) in self.lengths and (any((k, word[:k]) in self.heads for k in self.head_sizes) or any((k, word[-k:]) in self.tails for k in self.tail_sizes)):
             found = intersect(self.trie, Levenshtein(word, 1))
             if found is not None and len(found[0]) >= self.fuzzy:
                 return 2
-        return 4 if self.loose(word) else 0
-
-    def of(self, chunk: str) -> int:
-        found = self.memo.get(chunk)
-        if found is None:
-            if len(self.memo) >= MEMO:
-                self.memo.clear()
-            found = self.memo[chunk] = self.kind(chunk.strip(EDGE))
-        return found
-
-    def features(self, text: str, reach: int = 6) -> tuple[float, ...]:
-        words = text.lower().split()
-        look = self.memo.get
-        hits = [(i, c) for i, w in enumerate(words) if (c := look(w, -1)) > 0 or c < 0 and (c := self.of(w))]
-        n = len(words)
-        if not hits:
+        return 4 if loose else 0
+
+    def read(self, words: set[str]) -> None:
+        """Tell which of ``words`` are hits."""
+        if len(self.clean) > MEMO:
+            self.clean = set()
+        if len(self.hit) > MEMO:
+            self.hit = {}
+        for chunk in words.difference(self.clean).difference(self.hit):
+            kind = self.kind(chunk.strip(EDGE))
+            if kind:
+                self.hit[chunk] = kind
+            else:
+                self.clean.add(chunk)
+
+    def all_features(self, texts: list[str], at_once: int = 1 << 20) -> list[tuple[float, ...]]:
+        """``features`` of each text; the words of texts of ``at_once`` signs are looked up together."""
+        out: list[tuple[float, ...]] = []
+        held: list[list[str]] = []
+        rows: list[str] = []
+        signs = 0
+        for k, text in enumerate(texts):
+            rows.append(text)
+            held.append(text.lower().split())
+            signs += len(text)
+            if signs >= at_once or k == len(texts) - 1:
+                self.read(set().union(*held))
+                out += map(self.of_words, rows, held)
+                held, rows, signs = [], [], 0
+        return out
+
+    def features(self, text: str) -> tuple[float, ...]:
+        return self.all_features([text])[0]
+
+    def of_words(self, text: str, words: list[str], reach: int = 6) -> tuple[float, ...]:
+        n, hit = len(words), self.hit
+        if hit.keys().isdisjoint(words):
             return (0.0, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0, math.log1p(n), 0.0)
+        hits = [(i, hit[w]) for i, w in enumerate(words) if w in hit]
         marks = np.cumsum([sum(w.count(q) for q in QUOTES) if any(q in w for q in QUOTES) else 0 for w in words]) if any(q in text for q in QUOTES) else None
         score = quoted = addressed = near = stems = 0.0
         at = np.array([i for i, _ in hits])
@@ -291,9 +329,11 @@ def term_counts(rows: DataFrame, among: frozenset | None = None) -> DataFrame:
     return counted.groupBy("term", "stem").agg(F.sum("n").alias("n"))
 
 
-def learned_terms(sample: DataFrame, most: int = 20_000, least: int = 4, share: float = 0.04) -> tuple[list[str], list[str]]:
+def learned_terms(sample: DataFrame, least: int = 4, share: float = 0.04) -> tuple[list[str], list[str]]:
     """Words and stems that stand in at least ``share`` of the label-1 rows and nearly nowhere else.
 
+    All of them: a row of the (bounded) sample has its words, so there are no more terms with
+    that share than a row has words on average, divided by the share.
     The share keeps out words that only a group of copies has. A stem stands for the
     words that begin with it where none of them alone is nearly as frequent.
     """
@@ -301,7 +341,7 @@ def learned_terms(sample: DataFrame, most: int = 20_000, least: int = 4, share:
     total = sample.filter("label > 0").count()
     floor = max(least, math.ceil(share * total))
     toxic = term_counts(sample.filter("label > 0")).filter(F.col("n") >= floor)
-    found = {(r.term, r.stem): r.n for r in toxic.orderBy(F.desc("n"), "term", "stem").limit(most).collect()}
+    found = {(r.term, r.stem): r.n for r in toxic.collect()}
     clean = {(r.term, r.stem): r.n for r in term_counts(sample.filter("label = 0"), frozenset(found)).collect()}
     found = {k: n for k, n in found.items() if n >= 19 * clean.get(k, 0)}
     words = {t: n for (t, k), n in found.items() if k == 0}
@@ -318,7 +358,7 @@ def extractor(terms: list[str], stems: list[str]):
     def run(batches):
         lexicon = Lexicon(terms, stems, least=LEAST)
         for batch in batches:
-            rows = [lexicon.features(t or "") for t in batch.column("text").to_pylist()]
+            rows = lexicon.all_features([t or "" for t in batch.column("text").to_pylist()])
             columns = list(zip(*rows)) if rows else [()] * len(FEATURES)
             names = [n for n in batch.schema.names if n != "text"]
             kept = [batch.column(n) for n in names]
@@ -342,13 +382,19 @@ def scorer(model: gam.Additive):
     return run
 
 
-def toxicity_scores(docs: DataFrame, labels: DataFrame, label: str = "toxic", mod: int = 5, remainder: int = 0, max_labelled: int = MAX_LABELLED) -> DataFrame:
-    """doc_id, held_out, score, predicted, n_hits for every row of ``docs``."""
+def train(docs: DataFrame, labels: DataFrame, label: str, mod: int, remainder: int, max_labelled: int) -> tuple[list[str], list[str], gam.Additive]:
+    """Terms, stems and the model, from the labelled sample."""
     sample = materialize(labelled(docs, labels, label, mod, remainder, max_labelled), "toxicity")
     words, stems = learned_terms(sample)
     terms = sorted({*TERMS, *words})
     rows = hit_features(sample, terms, stems).toPandas().sort_values(["doc_id", *FEATURES])
-    model = gam.fit(rows[FEATURES].to_numpy(dtype=float), (rows["label"].to_numpy() > 0).astype(float), n_pairs=2, rounds=80)
+    discard(sample)
+    return terms, stems, gam.fit(rows[FEATURES].to_numpy(dtype=float), (rows["label"].to_numpy() > 0).astype(float), n_pairs=2, rounds=80)
+
+
+def toxicity_scores(docs: DataFrame, labels: DataFrame, label: str = "toxic", mod: int = 5, remainder: int = 0, max_labelled: int = MAX_LABELLED) -> DataFrame:
+    """doc_id, held_out, score, predicted, n_hits for every row of ``docs``."""
+    terms, stems, model = train(docs, labels, label, mod, remainder, max_labelled)
     scored = hit_features(texts(docs), terms, stems).mapInArrow(scorer(model), "doc_id long, score double, hits double")
     return scored.select(
         "doc_id",
@@ -357,3 +403,19 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, label: str = "toxic", mo
         (F.col("score") >= 0.5).cast("int").alias("predicted"),
         F.col("hits").cast("long").alias("n_hits"),
     )
+
+
+def drop_toxic(docs: DataFrame, labels: DataFrame, label: str = "toxic", mod: int = 5, remainder: int = 0, max_labelled: int = MAX_LABELLED) -> DataFrame:
+    """The rows of ``docs``, all columns as they are, whose ``text`` is not predicted to be toxic. No row is moved."""
+    terms, stems, model = train(docs, labels, label, mod, remainder, max_labelled)
+    bounded_batches(docs.sparkSession)
+    where = docs.columns.index("text")
+
+    def run(batches):
+        lexicon = Lexicon(terms, stems, least=LEAST)
+        for batch in batches:
+            found = lexicon.all_features([t or "" for t in batch.column(where).to_pylist()])
+            x = np.array(found, dtype=float).reshape(-1, len(FEATURES))
+            yield batch.filter(pa.array(model.score(x) < 0.5, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)

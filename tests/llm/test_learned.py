@@ -1,6 +1,10 @@
+import functools
 import hashlib
+import itertools
+import math
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -219,11 +223,112 @@ def test_redaction(spark):
     assert skipchain.redact(docs).columns == docs.columns and out[(40, None)] is None
 
 
-def test_exact_messages_on_a_tree():
-    """On two linked nodes message passing is exact."""
-    field = skipchain.fit([], {"chain": (0, 0), "skip": (0, 0)})
-    found = skipchain.nodes("jane.doe7@mail.example.org and then jane.doe7 again")
-    assert len(found) == 2 and skipchain.skips(found) == [(0, 1)]
+def exact(field, found):
+    """Marginals by summing over all labellings."""
     own = np.array([x.shape for x in found]) @ field.weights
-    joint = np.exp(own[1][None] + (np.arange(5)[:, None] == np.arange(5)) * field.skip)[0] * np.exp((np.arange(5) == 0) * field.chain)
-    assert np.allclose(field.marginals(found, rounds=60)[1], joint / joint.sum(), atol=1e-3)
+    pairs = [(i, j, field.chain) for i, j in skipchain.chains(found, field.reach)] + [(i, j, field.skip) for i, j in skipchain.skips(found)]
+    total = np.zeros((len(found), 5))
+    for labels in itertools.product(range(5), repeat=len(found)):
+        if all(x.label in (None, y) for x, y in zip(found, labels)):
+            weight = math.exp(sum(own[i, y] for i, y in enumerate(labels)) + sum(w for i, j, w in pairs if labels[i] == labels[j]))
+            for i, y in enumerate(labels):
+                total[i, y] += weight
+    return total / total.sum(1, keepdims=True)
+
+
+def test_messages_against_all_labellings():
+    """On a tree message passing is exact, on loops it is near and decides alike."""
+    field = skipchain.fit([])
+    tree = skipchain.nodes("jane.doe7@mail.example.org and then jane.doe7 again")
+    assert len(tree) == 2 and skipchain.skips(tree) == [(0, 1)]
+    assert np.allclose(field.marginals(tree, rounds=60), exact(field, tree), atol=1e-3)
+    rng = np.random.default_rng(1)
+    for text in ("jane.doe7@mail.example.org jane.doe7 jane.doe7 and jane.doe7 555-0100-22", "1.2.3.999 +1 2 1.2.3.999 a@b 1.2.3.999", "bob_1990@x.org, bob_1990@y.com, bob_1990 5550100222"):
+        found = skipchain.nodes(text)
+        assert len(skipchain.skips(found)) >= 2
+        for _ in range(5):
+            loose = skipchain.Field(rng.normal(0, 1, field.weights.shape), 0.2, 1.5)
+            want, got = exact(loose, found), loose.marginals(found, rounds=200)
+            assert np.abs(want - got).max() < 0.15
+            sure = want.max(1) > 0.7
+            assert (want.argmax(1) == got.argmax(1))[sure].all()
+
+
+def test_weights_are_learned_together():
+    """Skips that always agree raise their weight, chains that never do lower theirs."""
+    rows = []
+    for label in (0, 1):
+        own = [0.0] * (len(skipchain.SHAPES) - 1) + [1.0]
+        agree, other = [float(k == label) for k in range(5)], [float(k == 1 - label) for k in range(5)]
+        rows.append((own, other, agree, label, 50))
+    field = skipchain.fit(rows)
+    assert field.skip > skipchain.LINKS[1] and field.chain < skipchain.LINKS[0]
+
+
+def test_long_texts_take_linear_time():
+    field = skipchain.fit([])
+    token = "x" * 1_000_000 + "@"
+    refused = " ".join(f"999.{k % 300}.999.1" for k in range(50_000))
+    names = " ".join(f"name.{k}@mail.example.org name.{k}" for k in range(20_000))
+    for text, most in ((token, 2), (refused, 8), (names, 15)):
+        began = time.process_time()
+        skipchain.nodes(text)
+        assert time.process_time() - began < most
+    assert field.spans(token) == ([], [])
+
+
+def test_queries_against_plain_loops(spark, learned):
+    """Scores by look-up from the model's own tables, and the first rule that a row meets."""
+    docs, labels = learned
+    rows = textstats.training_rows(docs, labels, "quality", 3, 1, 20_000)
+    x, y = rows[textstats.FEATURES].to_numpy(dtype=float), rows["label"].to_numpy(dtype=float)
+    held = {r.doc_id for r in labels.collect() if r.quality is not None and crc_fold(r.doc_id, 3, 1)}
+    assert set(rows["doc_id"]) & held == set() and len(rows) > 100
+    model = gam.fit(x, y)
+    plain = textstats.with_ratios(textstats.text_counts(docs.select("doc_id", "text"))).toPandas()
+
+    def score(r):
+        total = model.intercept
+        for j, name in enumerate(textstats.FEATURES):
+            total += model.tables[j][sum(r[name] >= c for c in model.edges[j])]
+        for (a, b), table in zip(model.pairs, model.pair_tables):
+            u, v = (sum(r[textstats.FEATURES[j]] >= c for c in model.pair_edges[j]) for j in (a, b))
+            total += table[u, v]
+        return round(1 / (1 + math.exp(-total)), 9)
+
+    want = Counter((None if math.isnan(r["doc_id"]) else int(r["doc_id"]), score(r)) for _, r in plain.iterrows())
+    assert Counter((r.doc_id, round(r.score, 9)) for r in gam.quality_scores(docs, labels).collect()) == want
+    rules = decisionlist.learn({c: rows[c].to_numpy(dtype=float) for c in textstats.FEATURES}, y == 0)
+
+    def fired(r):
+        for k, rule in enumerate(rules, 1):
+            if all(r[t.feature] > t.value if t.above else r[t.feature] <= t.value for t in rule):
+                return k
+        return 0
+
+    want = Counter((None if math.isnan(r["doc_id"]) else int(r["doc_id"]), fired(r)) for _, r in plain.iterrows())
+    assert rules and Counter((r.doc_id, r.rule) for r in decisionlist.quality_rules(docs, labels).collect()) == want
+
+
+def test_toxicity_against_plain_loops(spark, learned):
+    """Hits by the distance to every term, and rows that go by their texts alone."""
+    docs, labels = learned
+    terms, stems, model = toxicity.train(docs, labels, "toxic", 5, 0, 20_000)
+    near = lambda w, t: swapped(w, t) <= toxicity.edits(len(t))
+
+    @functools.cache
+    def hit(w):
+        return any(w == t or len(t) >= 4 and near(w, t) for t in terms) or any(w.startswith(t) or len(t) >= 4 and any(near(w[:k], t) for k in range(len(w) + 1)) for t in stems)
+
+    rows = toxicity.toxicity_scores(docs, labels).collect()
+    text = Counter()
+    for i, t in cases.pairs(docs):
+        words = [w.strip(toxicity.EDGE) for w in t.lower().split()][:200]
+        text[i, len(t.split()) <= 200 and sum(map(hit, words))] += 1
+    short = {i for i, t in cases.pairs(docs) if len(t.split()) <= 200}
+    got = Counter((r.doc_id, r.n_hits) for r in rows if r.doc_id in short)
+    assert got == Counter({k: n for k, n in text.items() if k[0] in short})
+    kept = toxicity.drop_toxic(docs, labels)
+    assert kept.columns == docs.columns
+    toxic = Counter(r.doc_id for r in rows if r.predicted)
+    assert Counter(i for i, _ in cases.pairs(kept)) == Counter(i for i, _ in cases.pairs(docs)) - toxic and toxic
