@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 from kinfold.llm.common import materialize, running_offsets
 
 LAW = "rows"
+SALTS = 64
 
 
 def shuffle_key(doc_id: Column, seed: int) -> Column:
@@ -45,11 +46,15 @@ def stratified_interleave(
         F.coalesce(F.concat(F.lit("="), F.col(source_col).cast("string")), F.lit("null")).alias("stratum"),
         F.col(text_col).cast("string").alias("text"),
     ).withColumn("key", shuffle_key(F.col("doc_id"), seed))
+    # A source's size goes out ``SALTS`` times, so that no task gets all rows of a hot source to add it to.
     sizes = base.groupBy("stratum").agg(F.count("*").alias("source_rows"))
+    sizes = sizes.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))).withColumn("salt", F.col("salt").cast("long"))
 
     def ranges(df: DataFrame) -> DataFrame:
-        share = F.conv(F.substring("key", 1, 8), 16, 10).cast("double") / F.lit(2.0**32)
-        return df.join(sizes, "stratum").withColumn("part", F.floor(share * F.ceil(F.col("source_rows") / bucket_rows)))
+        head = F.conv(F.substring("key", 1, 8), 16, 10)
+        salted = df.withColumns({"share": head.cast("double") / F.lit(2.0**32), "salt": head.cast("long") % SALTS})
+        joined = salted.join(sizes, ["stratum", "salt"])
+        return joined.withColumn("part", F.floor(F.col("share") * F.ceil(F.col("source_rows") / bucket_rows))).drop("share", "salt")
 
     counts = ranges(base.select("stratum", "key")).groupBy("stratum", "part").agg(F.count("*").alias("n"))
     before = running_offsets(counts, ["stratum"], "part", "n")
