@@ -1,43 +1,43 @@
-"""BPE encoding and decoding with content-defined chunks.
+"""BPE encoding and decoding with content-defined chunks, shared across documents.
 
 A rolling hash over 48 bytes of text cuts it where the hash has certain bits, so equal
-passages of different documents fall into equal chunks wherever they stand. A worker
-encodes a chunk it meets again only once. At a join the pre-tokenizer may have cut
-differently than in the whole text, so the last two pieces of the left chunk and the first
-of the right are encoded again as one; the window grows until a piece ends where one of the
-right chunk's pieces ends, from where on both agree exactly: what a piece is depends only
-on the text from its start to two characters past its end (an apostrophe before "re", "ve"
-or "ll"), which two pieces more always hold.
-
-Chunks are remembered in each worker (``MEMO_CHUNKS``), not in a table of the whole
-corpus: that would shuffle all texts and all ids, more than encoding again costs.
-
-Defined results: null and empty texts have no ids; texts with
-a special token's opening are encoded whole, words with signs that ``codec`` does not split by
-the library, and the rest of their texts in chunks; repeated rows are encoded alike; an empty table gives
-no rows; other columns are ignored.
+passages of different documents fall into equal chunks wherever they stand. Chunks are
+counted by their digests; one that the corpus has twice or more is encoded once, into a
+table of chunks, and its ids are joined to every document that has it. What a chunk's ids are near its ends depends on what stands around it. So the
+table has the ids between the first and the last boundary in it, a boundary being a place
+where the pre-tokenizer cuts whatever stands around; at each join the text from the left
+chunk's last boundary to the right chunk's first is encoded again, from where on both sides
+agree exactly. A chunk without two boundaries stays open, and so does one that is not shared.
+
+Shared chunks' texts gather by digest, one from each task; which those are, tasks know from a
+map of 2**23 bits (a corpus with more shared chunks than that sends needless ones, which the
+join with the digests drops). Texts that have none are encoded where they are read; the others
+are sent to their chunks' ids, under zstandard. Rows are
+told apart by their place in the files, so repeated rows and null ids need no care.
+
+Defined results: null and empty texts have no ids; texts with a special token's opening are
+encoded whole; texts of scripts without spaces have few boundaries and so share less;
+repeated rows are encoded alike; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import hashlib
-import re
-from bisect import bisect_left
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from kinfold.llm.codec import SAFE, Codec, codec, ends, read_tokenizer
-from kinfold.llm.common import bounded_batches, texts
+from kinfold.llm.codec import SPACED, Codec, codec, read_tokenizer
+from kinfold.llm.common import ROW, bounded_batches, discard, hash_map, in_map, materialize, release, texts, tidy, with_rows
 
 WINDOW = 48
 MASK = 10  # bits: chunks of about 2**10 characters
-HEAD = 8
-OPEN = 2  # pieces at the end of a text that what follows may change
-MEMO_CHUNKS = 20_000
-JOINT = re.compile(r"[!-~\u00a1-\u012f\u0131-\u017f](?=[ \t\n\r])")
+MAP_BITS = 23
 BASE = 0x9E3779B97F4A7C15 | 1
+Known = list[tuple[int, int, bytes]]  # first and last boundary of a shared chunk, and the ids between (``narrow``)
 
 
 class Roller:
@@ -77,136 +77,213 @@ def cuts(text: str, window: int = WINDOW, mask: int = MASK) -> list[int]:
     return found
 
 
-def stretches(text: str) -> list[tuple[str, bool]]:
-    """``text`` in parts, and which of them the codec splits by itself.
+def last_boundary(text: str, begin: int, end: int) -> int:
+    """Place of the last space before ``end`` that a sign follows, which itself is before ``end``; -1 if none."""
+    at = text.rfind(" ", begin, end - 1)
+    while at >= 0 and text[at + 1].isspace():
+        at = text.rfind(" ", begin, at)
+    return at
 
-    A part with other signs runs from one space after a safe sign to another: a piece never
-    goes from other signs on to a space, and none looks past it.
+
+def chunks(tool: Codec, text: str, mask: int = MASK) -> list[tuple[bytes, int, int]]:
+    """Digest and first and last boundary of each chunk of ``text`` that has two.
+
+    Such a chunk's ids between them are the whole text's there, wherever it stands.
     """
-    if SAFE.fullmatch(text):
-        return [(text, True)]
-    out, begin, safe = [], 0, True
-    for end in [*(m.end() for m in JOINT.finditer(text)), len(text)]:
-        if begin < end:
-            part = text[begin:end]
-            own = SAFE.fullmatch(part) is not None
-            if out and own == safe:
-                out[-1].append(part)
-            else:
-                out.append([part])
-            safe, begin = own, end
-    return [(t, SAFE.fullmatch(t) is not None) for t in map("".join, out)]
-
-
-class Chunk:
-    """Ids of a chunk by itself, and where its first pieces end and its last two begin."""
-
-    __slots__ = ("ids", "head", "head_ids", "tail", "tail_ids")
-
-    def __init__(self, tool: Codec, text: str):
-        pieces = tool.pieces(text)
-        parts = tool.encode_parts(pieces)
-        self.ids = b"".join(parts)
-        self.head, self.head_ids = ends(pieces[:HEAD]), ends(parts[:HEAD])
-        self.tail = len(text) - sum(map(len, pieces[-OPEN:]))
-        self.tail_ids = len(self.ids) - sum(map(len, parts[-OPEN:]))
-
-
-class Reuse:
-    def __init__(self, tool: Codec, mask: int = MASK):
-        self.tool, self.mask = tool, mask
-        self.memo: dict[str, Chunk] = {}
-
-    def chunk(self, text: str) -> Chunk:
-        found = self.memo.get(text)
-        if found is None:
-            if len(self.memo) >= MEMO_CHUNKS:
-                self.memo.clear()
-            found = self.memo[text] = Chunk(self.tool, text)
-        return found
-
-    def encode(self, text: str) -> bytes:
-        if not text:
-            return b""
-        if not self.tool.divides(text):
-            return self.tool.encode(text)
-        return b"".join([self.plain(part) if safe else self.tool.whole(part) for part, safe in stretches(text)])
-
-    def plain(self, text: str) -> bytes:
-        """Ids of a text that the pattern splits here."""
-        last = cuts(text, mask=self.mask)
-        if len(last) == 1:
-            return self.tool.encode(text)
-        out: list[bytes] = []
-        open_at = begin = 0
-        for end in last:
-            part = self.chunk(text[begin:end])
-            if begin == 0:
-                out.append(part.ids[: part.tail_ids])
-                open_at = part.tail
-            else:
-                joined = self.repair(text, open_at, begin, end, part)
-                if joined is not None:
-                    window, after = joined
-                    out += [window, part.ids[part.head_ids[after] : part.tail_ids]]
-                    open_at = begin + part.tail
-            begin = end
-        out.append(self.tool.encode(text[open_at:]))
-        return b"".join(out)
-
-    def repair(self, text: str, open_at: int, begin: int, end: int, part: Chunk) -> tuple[bytes, int] | None:
-        """Ids from the open pieces to the first piece end that both sides share, and its number.
-
-        None if the chunk is too short to agree: it stays open, and the next join takes it in.
-        """
-        reach = begin + part.head[-1]
-        pieces = self.tool.pieces(text[open_at:reach])
-        at, sizes = open_at, []
-        for piece in pieces[:-OPEN]:  # what ends near the window's end may go on beyond it
-            at += len(piece)
-            sizes.append(at)
-        for k, stop in enumerate(sizes):
-            if stop > begin and stop - begin <= part.tail:
-                after = bisect_left(part.head, stop - begin)
-                if after < len(part.head) and part.head[after] == stop - begin:
-                    return b"".join(self.tool.encode_parts(pieces[: k + 1])), after
-        return None
-
-
-def coder(spec: str):
+    out = []
+    if tool.kind != "spaced" or not tool.divides(text):
+        return out
+    begin = 0
+    for end in cuts(text, mask=mask):
+        first = SPACED.search(text, begin, end)
+        if first is not None:
+            last = last_boundary(text, first.start(), end)
+            if last > first.start():
+                out.append((hashlib.blake2b(text[begin:end].encode("utf-8", "surrogatepass"), digest_size=16).digest(), first.start(), last))
+        begin = end
+    return out
+
+
+def narrow(tool: Codec, raw: bytes) -> bytes:
+    """Ids in two bytes each, where the vocabulary allows."""
+    return np.frombuffer(raw, dtype="<u4").astype("<u2").tobytes() if len(tool.shown()) <= 1 << 16 else raw
+
+
+def wide(tool: Codec, packed: bytes) -> bytes:
+    return np.frombuffer(packed, dtype="<u2").astype("<u4").tobytes() if len(tool.shown()) <= 1 << 16 else packed
+
+
+def encode_with(tool: Codec, rows: list[tuple[str, Known]]) -> list[bytes]:
+    """Ids of texts of which some chunks' ids are known: the rest is encoded from boundary to boundary."""
+    gaps: list[str] = []
+    for text, known in rows:
+        at = 0
+        for first, last, _ in known:
+            gaps.append(text[at:first])
+            at = last
+        gaps.append(text[at:])
+    made = iter(tool.encode_all(gaps))
+    out = []
+    for _, known in rows:
+        parts = []
+        for _, _, ids in known:
+            parts += [next(made), wide(tool, ids)]
+        parts.append(next(made))
+        out.append(b"".join(parts))
+    return out
+
+
+def _occurrences(spec: str, mask: int):
+    names = ["digest", *ROW, "first", "last"]
+    kinds = [pa.binary(), pa.int64(), pa.int64(), pa.int32(), pa.int32()]
+
     def run(batches):
         tool = codec(spec)
-        reuse = Reuse(tool)
         for batch in batches:
             rows = []
+            for text, file, row in zip(*(batch.column(c).to_pylist() for c in ("text", *ROW))):
+                rows += [(digest, file, row, first, last) for digest, first, last in chunks(tool, text, mask)]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*rows)) or [()] * 5, kinds)], names)
+        tidy()
+
+    return run
+
+
+def _chunk_texts(spec: str, mask: int, bits: np.ndarray):
+    """(digest, body): the part between the boundaries of each chunk that may be shared, once a task."""
+
+    def run(batches):
+        tool, seen = codec(spec), set()
+        for batch in batches:
+            digests, bodies = [], []
             for text in batch.column("text").to_pylist():
-                ids = np.frombuffer(reuse.encode(text), dtype="<u4").tolist()
-                decoded = tool.decode(ids)
-                rows.append((len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(decoded.encode("utf-8", "surrogatepass")).hexdigest()))
-            columns = list(zip(*rows)) if rows else [()] * 3
-            kinds = (pa.int64(), pa.string(), pa.string())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(c, t) for c, t in zip(columns, kinds))], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+                found = chunks(tool, text, mask)
+                if found:
+                    some = in_map(bits, np.array([hashed(d) for d, _, _ in found], dtype=np.int64)).tolist()
+                    for (digest, first, last), maybe in zip(found, some):
+                        if maybe and digest not in seen:
+                            seen.add(digest)
+                            digests.append(digest)
+                            bodies.append(text[first:last])
+            yield pa.RecordBatch.from_arrays([pa.array(digests, pa.binary()), pa.array(bodies, pa.string())], ["digest", "body"])
+        tidy()
 
     return run
 
 
-def id_writer(spec: str):
+def hashed(digest: bytes) -> int:
+    return int.from_bytes(digest[:8], "big", signed=True)
+
+
+def _chunk_ids(spec: str):
     def run(batches):
-        reuse = Reuse(codec(spec))
+        tool = codec(spec)
         for batch in batches:
-            ids = [np.frombuffer(reuse.encode(t), dtype="<u4").astype(np.int32) for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(ids, pa.list_(pa.int32()))], ["doc_id", "ids"])
+            ids = [narrow(tool, raw) for raw in tool.encode_all(batch.column("body").to_pylist())]
+            yield pa.RecordBatch.from_arrays([batch.column("digest"), pa.array(ids, pa.binary())], ["digest", "ids"])
 
     return run
 
 
-def encode_ids(docs: DataFrame, tokenizer: str) -> DataFrame:
-    """doc_id and the ids of each whole text."""
+def shared_chunks(rows: DataFrame, spec: str, mask: int = MASK) -> tuple[DataFrame, DataFrame, np.ndarray]:
+    """(digest, ids) of chunks that stand in two places or more, (row, digest, first, last) of all chunks, and the map."""
+    spark = rows.sparkSession
+    places = materialize(rows.mapInArrow(_occurrences(spec, mask), f"digest binary, {ROW[0]} long, {ROW[1]} long, first int, last int"), "chunks")
+    shared = materialize(places.groupBy("digest").agg(F.count("*").alias("n")).filter("n > 1").select("digest"), "digests")
+    head = F.conv(F.hex(F.substring("digest", 1, 8)), 16, -10).cast("long")
+    bits = hash_map(shared.select(head.alias("h")), MAP_BITS)
+    bodies = rows.select("text").mapInArrow(_chunk_texts(spec, mask, bits), "digest binary, body string")
+    once = bodies.groupBy("digest").agg(F.first("body").alias("body")).join(shared, "digest", "left_semi")
+    found = materialize(once.mapInArrow(_chunk_ids(spec), "digest binary, ids binary"), "chunkids")
+    discard(shared)
+    release(spark)
+    return found, places, bits
+
+
+def _scattered(parts: list[list[pa.Array]], where: list[list[int]], rows: int) -> list[pa.Array]:
+    """Columns of ``rows`` rows: those of each of ``parts`` at its places, null elsewhere."""
+    at: list[int | None] = [None] * rows
+    before = 0
+    for places in where:
+        for k, row in enumerate(places):
+            at[row] = before + k
+        before += len(places)
+    taken = pa.array(at, pa.int64())
+    return [pa.concat_arrays(columns).take(taken) for columns in zip(*parts)]
+
+
+def _read(spec: str, mask: int, bits: np.ndarray, make, names: list[str]):
+    """Results of texts without shared chunks, the packed texts of others."""
+
+    def run(batches):
+        tool, press = codec(spec), zstandard.ZstdCompressor(level=1)
+        for batch in batches:
+            found = batch.column("text").to_pylist()
+            packed: list[bytes | None] = [None] * len(found)
+            done = []
+            for k, text in enumerate(found):
+                parts = [hashed(d) for d, _, _ in chunks(tool, text, mask)]
+                if parts and in_map(bits, np.array(parts, dtype=np.int64)).any():
+                    packed[k] = press.compress(text.encode("utf-8", "surrogatepass"))
+                else:
+                    done.append(k)
+            results = _scattered([make(tool, tool.encode_all([found[k] for k in done]))], [done], len(found))
+            own = [batch.column(c) for c in ("doc_id", *ROW)]
+            yield pa.RecordBatch.from_arrays([*own, pa.array(packed, pa.binary()), *results], ["doc_id", *ROW, "packed", *names])
+        tidy()
+
+    return run
+
+
+def _finish(spec: str, make, names: list[str]):
+    def run(batches):
+        tool, press = codec(spec), zstandard.ZstdDecompressor()
+        for batch in batches:
+            packed = batch.column("packed").to_pylist()
+            known = batch.column("known").to_pylist()
+            rest = [k for k, raw in enumerate(packed) if raw is not None]
+            done = [k for k, raw in enumerate(packed) if raw is None]
+            some = [(press.decompress(packed[k]).decode("utf-8", "surrogatepass"), sorted((c["first"], c["last"], c["ids"]) for c in known[k] or ())) for k in rest]
+            before = [batch.column(c).take(pa.array(done, pa.int64())) for c in names]
+            results = _scattered([before, make(tool, encode_with(tool, some))], [done, rest], len(packed))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *results], ["doc_id", *names])
+        tidy()
+
+    return run
+
+
+def encoded(docs: DataFrame, tokenizer: str, make, schema: str, mask: int = MASK) -> DataFrame:
+    """doc_id and what ``make`` gives of the ids (columns of ``schema``), for every row of ``docs``."""
     bounded_batches(docs.sparkSession)
-    return texts(docs).mapInArrow(id_writer(read_tokenizer(tokenizer)), "doc_id long, ids array<int>")
+    spec = read_tokenizer(tokenizer)
+    names = [c.split()[0] for c in schema.split(", ")]
+    rows = with_rows(texts(docs))
+    table, places, bits = shared_chunks(rows, spec, mask)
+    uses = places.join(table, "digest").groupBy(*ROW).agg(F.collect_list(F.struct("first", "last", "ids")).alias("known"))
+    read = rows.mapInArrow(_read(spec, mask, bits, make, names), f"doc_id long, {ROW[0]} long, {ROW[1]} long, packed binary, {schema}")
+    joined = read.join(uses, ROW, "left").select("doc_id", "packed", "known", *names)
+    return joined.mapInArrow(_finish(spec, make, names), f"doc_id long, {schema}")
 
 
-def encode_decode(docs: DataFrame, tokenizer: str) -> DataFrame:
+def _digests(tool: Codec, encoded_texts: list[bytes]) -> list[pa.Array]:
+    shown = tool.shown()
+    rows = []
+    for raw in encoded_texts:
+        ids = np.frombuffer(raw, dtype="<u4").tolist()
+        decoded = tool.decode(ids)
+        rows.append((len(ids), hashlib.sha256(",".join(map(shown.__getitem__, ids)).encode()).hexdigest(), hashlib.sha256(decoded.encode("utf-8", "surrogatepass")).hexdigest()))
+    return [pa.array(c, t) for c, t in zip(list(zip(*rows)) or [()] * 3, (pa.int64(), pa.string(), pa.string()))]
+
+
+def _id_lists(tool: Codec, encoded_texts: list[bytes]) -> list[pa.Array]:
+    return [pa.array([np.frombuffer(raw, dtype="<u4").astype(np.int32) for raw in encoded_texts], pa.list_(pa.int32()))]
+
+
+def encode_ids(docs: DataFrame, tokenizer: str, mask: int = MASK) -> DataFrame:
+    """doc_id and the ids of each whole text."""
+    return encoded(docs, tokenizer, _id_lists, "ids array<int>", mask)
+
+
+def encode_decode(docs: DataFrame, tokenizer: str, mask: int = MASK) -> DataFrame:
     """doc_id, n_tokens, ids_sha256 and decoded_sha256 of each whole text."""
-    bounded_batches(docs.sparkSession)
-    return texts(docs).mapInArrow(coder(read_tokenizer(tokenizer)), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return encoded(docs, tokenizer, _digests, "n_tokens long, ids_sha256 string, decoded_sha256 string", mask)

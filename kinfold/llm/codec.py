@@ -18,7 +18,7 @@ import os
 import re
 from array import array
 
-MEMO_PIECES = 200_000  # of about 170 bytes each
+MEMO_PIECES = 150_000  # of about 170 bytes each
 BATCH_SIGNS = 2 << 20  # texts whose new pieces are learned in one go
 
 #: A byte-level unit begins with a space that another sign follows; other units stand between white space.

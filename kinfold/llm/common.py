@@ -7,11 +7,16 @@ deleted as soon as nothing reads them any more (``discard``).
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import gc
 import tempfile
 import uuid
 import weakref
 
+import numpy as np
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -126,6 +131,50 @@ def running_offsets(counts: DataFrame, keys: list[str], order: str, n: str, span
     return joined.select(*keys, order, (F.col("_base") + F.col("_in")).alias("before"))
 
 
+def in_map(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """Which of ``hashes`` (64 bits) may be among those that ``hash_map`` made ``bits`` of."""
+    size = (8 * len(bits)).bit_length() - 1
+    at = (hashes.view(np.uint64) >> np.uint64(64 - size)).astype(np.int64)
+    return (bits[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 > 0
+
+
+def hash_map(hashes: DataFrame, bits: int) -> np.ndarray:
+    """For each of ``2**bits`` ranges a bit: whether the one column of ``hashes`` (long) has a value there.
+
+    Joined in steps, so that neither a task nor the driver gets a map from each task.
+    """
+    schema = "salt int, bits binary"
+
+    def mark(batches):
+        found = np.zeros(1 << bits, dtype=bool)
+        for batch in batches:
+            values = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
+            found[(values.view(np.uint64) >> np.uint64(64 - bits)).astype(np.int64)] = True
+        if found.any():
+            yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId() % 64], pa.int32()), pa.array([np.packbits(found).tobytes()], pa.binary())], ["salt", "bits"])
+
+    def join(table: pa.Table) -> pa.Table:
+        total = np.zeros((1 << bits) // 8, dtype=np.uint8)
+        for b in table.column("bits"):
+            total |= np.frombuffer(b.as_buffer(), dtype=np.uint8)
+        return pa.table({"salt": pa.array([table.column("salt")[0].as_py()], pa.int32()), "bits": pa.array([total.tobytes()], pa.binary())})
+
+    parts = hashes.mapInArrow(mark, schema).groupBy("salt").applyInArrow(join, schema)
+    parts = parts.withColumn("salt", F.col("salt") % 8).groupBy("salt").applyInArrow(join, schema)
+    total = np.zeros((1 << bits) // 8, dtype=np.uint8)
+    for r in parts.collect():
+        total |= np.frombuffer(r.bits, dtype=np.uint8)
+    return total
+
+
+def tidy() -> None:
+    """Give memory that a finished task no longer needs back to the system: workers live on for other stages."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def release(spark: SparkSession) -> None:
     """Let Spark drop shuffle files of finished phases: it does so when the driver collects its garbage."""
     gc.collect()

@@ -31,14 +31,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kinfold.llm.common import ROW, bounded_batches, materialize, texts, with_rows
+from kinfold.llm.common import ROW, bounded_batches, hash_map, in_map, materialize, texts, with_rows
 
 WINDOW = 13
 REACH = 26  # words to either side of a window's rarest term
 SEGMENT_WORDS = 400_000
 BLOCK_WINDOWS = 20_000  # of a segment, searched at once
 MAP_BITS = 20
-MAP_SALTS = 64
 #: ASCII upper to lower case; every other ASCII character but digits and letters to space.
 FOLD = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256))
 INDEX = f"segment long, doc_ids array<long>, {ROW[0]} array<long>, {ROW[1]} array<long>, n_words array<int>, terms binary, heads binary, postings binary"
@@ -180,30 +179,6 @@ def _windows(window: int | None):
     return run
 
 
-def _term_map(batches):
-    bits = np.zeros(1 << MAP_BITS, dtype=bool)
-    for batch in batches:
-        hashes = batch.column("h").to_numpy(zero_copy_only=False).astype(np.int64)
-        bits[(hashes.view(np.uint64) >> np.uint64(64 - MAP_BITS)).astype(np.int64)] = True
-    yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId() % MAP_SALTS], pa.int32()), pa.array([np.packbits(bits).tobytes()], pa.binary())], ["salt", "bits"])
-
-
-def _join_maps(table: pa.Table) -> pa.Table:
-    total = np.zeros((1 << MAP_BITS) // 8, dtype=np.uint8)
-    for b in table.column("bits"):
-        total |= np.frombuffer(b.as_buffer(), dtype=np.uint8)
-    return pa.table({"salt": pa.array([table.column("salt")[0].as_py()], pa.int32()), "bits": pa.array([total.tobytes()], pa.binary())})
-
-
-def term_map(terms: DataFrame) -> np.ndarray:
-    """For each range of hashes whether ``terms`` has one there: 2**20 bits, whatever its size."""
-    parts = terms.select("h").mapInArrow(_term_map, "salt int, bits binary").groupBy("salt").applyInArrow(_join_maps, "salt int, bits binary")
-    total = np.zeros((1 << MAP_BITS) // 8, dtype=np.uint8)
-    for r in parts.collect():
-        total |= np.frombuffer(r.bits, dtype=np.uint8)
-    return np.unpackbits(total).astype(bool)
-
-
 def _vocabulary(bits: np.ndarray):
     """(segment, h, n): how often a segment has each term that items may have."""
 
@@ -213,7 +188,7 @@ def _vocabulary(bits: np.ndarray):
                 row = batch.slice(k, 1).to_pylist()[0]
                 terms, counts = spread_terms(row)
                 hashes = np.fromiter(map(term_hash, terms), dtype=np.int64, count=len(terms))
-                some = bits[(hashes.view(np.uint64) >> np.uint64(64 - MAP_BITS)).astype(np.int64)]
+                some = in_map(bits, hashes)
                 columns = [np.full(int(some.sum()), row["segment"], dtype=np.int64), hashes[some], counts[some]]
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["segment", "h", "n"])
 
@@ -273,7 +248,7 @@ def matches(index: DataFrame, items: DataFrame, id_col: str = "item_id", text_co
     rows = items.select(F.col(id_col).cast("string").alias("item"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).filter("item is not null")
     owners = materialize(rows.mapInArrow(_windows(window), "item string, win string, terms array<struct<term:string,h:long>>"), "windows")
     terms = owners.select(F.explode("terms").alias("t")).select("t.term", "t.h").distinct()
-    vocabulary = materialize(index.select("segment", "terms", "heads").mapInArrow(_vocabulary(term_map(terms)), "segment long, h long, n long"), "vocabulary")
+    vocabulary = materialize(index.select("segment", "terms", "heads").mapInArrow(_vocabulary(hash_map(terms.select("h"), MAP_BITS)), "segment long, h long, n long"), "vocabulary")
     totals = vocabulary.groupBy("h").agg(F.sum("n").alias("total"))
     each = owners.select("win", "terms").dropDuplicates(["win"]).select("win", F.size("terms").alias("size"), F.explode("terms").alias("t")).select("win", "size", "t.term", "t.h")
     rarest = each.join(totals, "h").groupBy("win", "size").agg(F.count("*").alias("known"), F.min(F.struct("total", "term", "h")).alias("r")).filter("known = size")

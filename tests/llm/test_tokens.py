@@ -30,39 +30,57 @@ def test_codec_is_the_library(name):
             assert tool.decode(want) == library.decode(want, skip_special_tokens=False)
 
 
+def pool(tool, texts, mask):
+    """Ids of all chunks of ``texts``, each encoded once, where it first stands."""
+    found = {}
+    for text in texts:
+        for digest, first, last in chunkreuse.chunks(tool, text, mask):
+            found.setdefault(digest, chunkreuse.narrow(tool, tool.encode(text[first:last])))
+    return found
+
+
+def by_chunks(tool, texts, mask):
+    ids = pool(tool, texts, mask)
+    return chunkreuse.encode_with(tool, [(t, [(a, b, ids[d]) for d, a, b in chunkreuse.chunks(tool, t, mask)]) for t in texts])
+
+
 @pytest.mark.parametrize("mask", [2, 4, 7])
 def test_chunk_joins(mask):
     tool = codec.Codec(codec.read_tokenizer(public_tokenizers.path("byte_bpe_50k.json")))
-    reuse = chunkreuse.Reuse(tool, mask)
     texts = [*mixed(), cases.prose(random.Random(4), 2000)]
-    for text in [*texts, *texts]:
-        assert reuse.encode(text) == tool.whole(text)
-    assert len(reuse.memo) > 10
+    assert by_chunks(tool, texts, mask) == [tool.whole(t) for t in texts]
+    assert len(pool(tool, texts, mask)) > 10
 
 
 def test_joins_at_contractions(monkeypatch):
     tool = codec.Codec(codec.read_tokenizer(public_tokenizers.path("byte_bpe_50k.json")))
     wrong = []
-    for text in ("so they're here", "we've 'll 're ''ve x'llama", "I'll  say they'r and 'v 'l're", "a b c d e f g they're h", "1'l'll'v've'r're"):
+    for text in ("so they're here", "we've 'll 're ''ve x'llama", "I'll  say they'r and 'v 'l're", "a b c d e f g they're h", "1'l'll'v've'r're", "a  b \n c   d\u00a0 e "):
         for a in range(1, len(text)):
             for b in range(a, len(text)):
                 monkeypatch.setattr(chunkreuse, "cuts", lambda t, mask: sorted({a, b, len(t)}))
-                if chunkreuse.Reuse(tool).encode(text) != tool.whole(text):
+                if by_chunks(tool, [text], 1) != [tool.whole(text)]:
                     wrong.append((text, a, b))
     assert not wrong
 
 
-def test_chunks_around_other_signs():
+def test_chunks_of_any_script():
     tool = codec.Codec(codec.read_tokenizer(public_tokenizers.path("byte_bpe_50k.json")))
     rng = random.Random(7)
     signs = ["a", "they're", " ", "  ", "\n", "'", "1", "é", ".", "“", "–", "\u00a0", "\u2003", "я", "文", "🙂", "e\u0301", "\x85", "\x1c", "\x0b", "\u3000", "²"]
     texts = ["".join(rng.choice(signs) for _ in range(rng.randint(1, 60))) for _ in range(3000)]
-    reuse = chunkreuse.Reuse(tool, 2)
-    assert not [t for t in texts if reuse.encode(t) != tool.whole(t)]
-    reuse = chunkreuse.Reuse(tool, 5)
-    prose = cases.prose(random.Random(4), 2000)
-    reuse.encode(f"{prose} “quoted” {prose}")
-    assert len(reuse.memo) > 10
+    assert by_chunks(tool, texts, 2) == [tool.whole(t) for t in texts]
+    blank = codec.Codec(codec.read_tokenizer(public_tokenizers.path("word_bpe_49k.json")))
+    assert blank.encode_all(texts) == [blank.whole(t) for t in texts]
+    prose = " ".join(rng.choice(["слово", "λόγος", "“quoted”", "word"]) + str(k % 7) for k in range(3000))
+    assert len(pool(tool, [prose], 5)) > 10
+
+
+def test_small_memo_gives_the_same():
+    spec = codec.read_tokenizer(public_tokenizers.path("byte_bpe_50k.json"))
+    small, large = codec.Codec(spec, 1), codec.Codec(spec)
+    for text in mixed(20):
+        assert small.encode(text) == large.encode(text)
 
 
 def test_equal_passages_share_chunks():
@@ -115,5 +133,6 @@ def test_encode_decode(spark):
     for doc_id, text in cases.pairs(docs):
         ids = library.encode(text, add_special_tokens=False).ids
         want.append((doc_id, len(ids), sha(",".join(map(str, ids))), sha(library.decode(ids, skip_special_tokens=False))))
-    assert sorted(map(tuple, chunkreuse.encode_decode(docs, path).collect()), key=str) == sorted(want, key=str)
+    for mask in (chunkreuse.MASK, 4):
+        assert sorted(map(tuple, chunkreuse.encode_decode(docs, path, mask).collect()), key=str) == sorted(want, key=str)
     assert chunkreuse.encode_decode(cases.empty(spark), path).count() == 0
