@@ -191,7 +191,7 @@ def shared_chunks(rows: DataFrame, spec: str, mask: int = MASK) -> tuple[DataFra
     places = materialize(rows.mapInArrow(_occurrences(spec, mask), f"digest binary, {ROW[0]} long, {ROW[1]} long, first int, last int"), "chunks")
     shared = materialize(places.groupBy("digest").agg(F.count("*").alias("n")).filter("n > 1").select("digest"), "digests")
     head = F.conv(F.hex(F.substring("digest", 1, 8)), 16, -10).cast("long")
-    bits = hash_map(shared.select(head.alias("h")), MAP_BITS)
+    bits = hash_map(shared.select(head.alias("h")), MAP_BITS, shared.count())
     bodies = rows.select("text").mapInArrow(_chunk_texts(spec, mask, bits), "digest binary, body string")
     once = bodies.groupBy("digest").agg(F.first("body").alias("body")).join(shared, "digest", "left_semi")
     found = materialize(once.mapInArrow(_chunk_ids(spec), "digest binary, ids binary"), "chunkids")

@@ -138,12 +138,15 @@ def in_map(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     return (bits[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 > 0
 
 
-def hash_map(hashes: DataFrame, bits: int) -> np.ndarray:
+def hash_map(hashes: DataFrame, bits: int, rows: int | None = None) -> np.ndarray:
     """For each of ``2**bits`` ranges a bit: whether the one column of ``hashes`` (long) has a value there.
 
-    Joined in steps, so that neither a task nor the driver gets a map from each task.
+    Joined in steps, so that neither a task nor the driver gets a map from each task. With
+    ``rows``, how many hashes there are, a few are not read by many tasks, each with a map.
     """
     schema = "salt int, bits binary"
+    if rows is not None:
+        hashes = hashes.coalesce(max(1, min(256, rows // 500_000)))
 
     def mark(batches):
         found = np.zeros(1 << bits, dtype=bool)

@@ -8,7 +8,8 @@
    far apart to link are told apart, and n-grams that no two sets share there are gone, as
    are sets with fewer than ``k`` left, ``k`` being a tenth of the smallest size that may link.
    Counts by n-gram and class of size do this, so a frequent n-gram is summed up before it
-   is shuffled, and no task gets all rows of one.
+   is shuffled, and no task gets all rows of one. Maps of at most 2**26 bits tell tasks which
+   n-grams and texts need not be sent on; beyond what they can hold, more is sent than needed.
 3. Each remaining run gathers at its smallest class. There the whole sets form a prefix
    tree in the global order, frequent n-grams first, so that near copies share long paths.
    The tree is walked once, with the overlaps of all sets so far at every node; a subtree is
@@ -42,12 +43,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from kinfold.llm.common import ROW, bounded_batches, discard, materialize, release, texts, with_rows
+from kinfold.llm.common import ROW, bounded_batches, discard, hash_map, in_map, materialize, release, texts, tidy, with_rows
 
 SKETCH_BITS = 20
 SKETCH_ROWS = 256
-SKETCH_SALTS = 64
-GROUP_ROWS = 200
+SKETCH_SALTS = 8
+MAP_BITS = 26
+BROADCAST_PLACES = 500_000  # of about 40 bytes each; with more, sets and places meet by shuffle
+GROUP_ROWS = 250
 REST_TIMES = 4
 GROUP_GRAMS = 1_000_000
 SLACK = 10  # longer prefixes by a tenth of the set
@@ -99,6 +102,7 @@ def _sketch(n: int):
             for text in batch.column("text").to_pylist():
                 np.add.at(seen, ngrams(text, n) >> np.uint64(64 - SKETCH_BITS), 1)
         _WORDS.clear()  # workers live on, and later stages need the memory
+        tidy()
         rows = seen.reshape(SKETCH_ROWS, -1)
         salt = TaskContext.get().partitionId() % SKETCH_SALTS
         columns = [pa.array(range(SKETCH_ROWS), pa.int32()), pa.array([salt] * SKETCH_ROWS, pa.int32()), pa.array([r.tobytes() for r in rows], pa.binary())]
@@ -153,25 +157,39 @@ def _prefixes(n: int, percent: int, levels: np.ndarray):
             columns = list(zip(*rows)) or [()] * 3
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in own), *(pa.array(c, t) for c, t in zip(columns, kinds))], [*own, "n_shingles", "class", "prefix"])
         _WORDS.clear()
+        tidy()
 
     return run
 
 
-def _sets(n: int):
-    """(hub, i, j, whole, class, grams): a chosen document's set for each group that wants it."""
-    names = ["hub", "i", "j", "whole", "class", "grams"]
-    kinds = [pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.binary(), pa.list_(pa.int64())]
+def _sets(n: int, bits: np.ndarray):
+    """(row, grams): the sets of the rows that may be wanted."""
 
     def run(batches):
         for batch in batches:
-            for row in batch.select(["text", "class", "places"]).to_pylist():
-                grams = ngrams(row["text"], n)
-                for at in range(0, len(row["places"]), 64):
-                    part = row["places"][at : at + 64]
-                    body = pa.array([grams.view(np.int64)] * len(part), kinds[5])
-                    keys = [pa.array([p[c] for p in part], t) for c, t in zip(names[:4], kinds)]
-                    yield pa.RecordBatch.from_arrays([*keys, pa.array([row["class"]] * len(part), kinds[4]), body], names)
+            some = in_map(bits, batch.column("h").to_numpy(zero_copy_only=False))
+            batch = batch.filter(pa.array(some, pa.bool_()))
+            grams = [ngrams(t, n).view(np.int64) for t in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ROW), pa.array(grams, pa.list_(pa.int64()))], [*ROW, "grams"])
         _WORDS.clear()
+        tidy()
+
+    return run
+
+
+def _live_only(bits: np.ndarray):
+    """The prefixes without n-grams that no other set has there; ``at`` keeps their places."""
+
+    def run(batches):
+        for batch in batches:
+            cut, at = [], []
+            for prefix in batch.column("prefix"):
+                values = prefix.values.to_numpy(zero_copy_only=False) if prefix.values is not None else np.empty(0, dtype=np.int64)
+                here = np.flatnonzero(in_map(bits, values))
+                cut.append(values[here])
+                at.append(here.astype(np.int32))
+            own = [c for c in batch.schema.names if c != "prefix"]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in own), pa.array(cut, pa.list_(pa.int64())), pa.array(at, pa.list_(pa.int32()))], [*own, "prefix", "at"])
 
     return run
 
@@ -337,36 +355,69 @@ def short_of(name: bytes) -> int:
     return int(name.hex()[:15], 16)
 
 
-def runs(grams: DataFrame, percent: int) -> DataFrame:
-    """gram, band, k, hub: for each n-gram and class of sizes the sets within reach, and their smallest class.
-
-    Sizes that may link are in the same or neighbouring bands. An n-gram has few bands, so the
-    window over them is small however many sets have it.
+def map_of(hashes: DataFrame) -> np.ndarray:
+    """A map of eight bits or more for each hash, up to ``MAP_BITS``."""
+    rows = hashes.count()
+    return hash_map(hashes, min(MAP_BITS, max(16, (8 * rows).bit_length())), rows)
+
+
+def _combined(batches):
+    """(gram, band, least, most): for each n-gram and band of a batch the smallest and largest class."""
+    names = ["gram", "band", "least", "most"]
+    kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64()]
+    for batch in batches:
+        grams = batch.column("prefix")
+        many = grams.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+        gram = grams.flatten().to_numpy(zero_copy_only=False)
+        band, cid = (np.repeat(batch.column(c).to_numpy(zero_copy_only=False), many) for c in ("band", "cid"))
+        order = np.lexsort((cid, band, gram))
+        gram, band, cid = gram[order], band[order], cid[order]
+        new = np.ones(len(gram), dtype=bool)
+        new[1:] = (gram[1:] != gram[:-1]) | (band[1:] != band[:-1])
+        first = np.flatnonzero(new)
+        last = np.append(first[1:], len(gram)) - 1 if len(first) else first
+        columns = (gram[first], band[first], cid[first], cid[last])
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names)
+
+
+def runs(sets: DataFrame) -> DataFrame:
+    """gram, band, hub: for each n-gram and class of sizes that several classes have within reach, their smallest class.
+
+    Sizes that may link are in the same or neighbouring bands. Tasks send a frequent n-gram
+    once a batch, and an n-gram has few bands, so neither it nor the window over them is large.
     """
-    counted = grams.groupBy("gram", "band").agg(F.count("*").alias("n"), F.min("cid").alias("least"))
+    sent = sets.select("cid", "band", "prefix").mapInArrow(_combined, "gram long, band int, least long, most long").repartition("gram")
+    counted = sent.groupBy("gram", "band").agg(F.min("least").alias("least"), F.max("most").alias("most"))
     by_band = W.partitionBy("gram").orderBy("band")
-    again = counted.withColumn("again", F.coalesce(F.lag("band").over(by_band) < F.col("band") - 1, F.lit(True)).cast("int"))
-    numbered = again.withColumn("run", F.sum("again").over(by_band.rowsBetween(W.unboundedPreceding, 0)))
-    near = F.sum("n").over(by_band.rangeBetween(-1, 1))
+    again = F.coalesce(F.lag("band").over(by_band) < F.col("band") - 1, F.lit(True)).cast("int")
+    near = by_band.rangeBetween(-1, 1)
+    numbered = counted.withColumns({"again": again, "several": F.min("least").over(near) < F.max("most").over(near)})
+    numbered = numbered.withColumn("run", F.sum("again").over(by_band.rowsBetween(W.unboundedPreceding, 0)))
     run = W.partitionBy("gram", "run")
-    return numbered.select("gram", "band", near.alias("k"), F.min("least").over(run).alias("hub")).filter("k > 1")
+    return numbered.select("gram", "band", F.min("least").over(run).alias("hub"), "several").filter("several").select("gram", "band", "hub")
 
 
-def group_members(heads: DataFrame, one: DataFrame, percent: int) -> DataFrame:
-    """(hub, cid, size): the groups in which each class's set must be compared."""
-    chosen = heads.join(one.select(*(F.col(f"first.{c}").alias(c) for c in ROW)), ROW, "left_semi")
+def group_members(heads: DataFrame, percent: int) -> DataFrame:
+    """(hub, cid, size): the groups in which each class's set must be compared. Copies in ``heads`` add nothing."""
+    spark = heads.sparkSession
     head = F.expr(f"n_shingles - ({percent} * n_shingles + 99) div 100 + 1")
     # A band is as wide as a link's sizes may be apart, so links are within a band or between neighbours.
     width = max(1e-6, math.log(100 / percent) * (1 + 1e-9))
     band = F.floor(F.log(F.col("n_shingles").cast("double")) / F.lit(width)).cast("int")
-    grams = chosen.select(short("class").alias("cid"), F.col("n_shingles").cast("int").alias("size"), band.alias("band"), head.alias("head"), F.posexplode("prefix").alias("at", "gram"))
-    grams = grams.select("gram", "cid", "size", "band", (F.col("at") < F.col("head")).alias("core"))
-    live = grams.join(runs(grams, percent).select("gram", "band"), ["gram", "band"])
-    shared = F.count("*").over(W.partitionBy("cid"))
+    slim = heads.select(short("class").alias("cid"), F.col("n_shingles").cast("int").alias("size"), band.alias("band"), head.cast("int").alias("head"), "prefix")
+    found = materialize(runs(slim).select("gram", "band"), "livegrams")
+    release(spark)
+    left = slim.mapInArrow(_live_only(map_of(found.select("gram"))), "cid long, size int, band int, head int, prefix array<long>, at array<int>")
+    grams = left.select("cid", "size", "band", "head", F.explode(F.arrays_zip("prefix", "at")).alias("g"))
+    grams = grams.select(F.col("g.prefix").alias("gram"), "cid", "size", "band", (F.col("g.at") < F.col("head")).alias("core"))
+    kept = grams.join(found, ["gram", "band"]).groupBy("cid", "size", "band").agg(F.collect_set(F.struct("gram", "core")).alias("grams"))
     least = F.expr(f"1 + ({percent} * size + 99) div 100 div {SLACK}")
-    live = live.withColumn("shared", shared).filter((F.col("shared") >= least) & F.col("core")).select("gram", "cid", "size", "band")
-    live = materialize(live, "shared")
-    members = materialize(live.join(runs(live, percent).select("gram", "band", "hub"), ["gram", "band"]).select("hub", "cid", "size").distinct(), "members")
+    kept = kept.filter(F.size("grams") >= least).select("cid", "size", "band", F.expr("transform(filter(grams, g -> g.core), g -> g.gram)").alias("prefix"))
+    live = materialize(kept, "shared")
+    discard(found)
+    hubs = runs(live)
+    each = live.select("cid", "size", "band", F.explode("prefix").alias("gram"))
+    members = materialize(each.join(hubs, ["gram", "band"]).select("hub", "cid", "size").distinct(), "members")
     discard(live)
     return members
 
@@ -378,8 +429,10 @@ def blocks_of(members: DataFrame, group_rows: int, group_grams: int) -> DataFram
 
 
 def dealt(members: DataFrame, blocks: DataFrame) -> DataFrame:
-    """``members`` of the groups of ``blocks`` with ``own``, their block; by group and class, so a large group is many tasks."""
-    return members.join(blocks, "hub").withColumn("own", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int"))
+    """``members`` with ``own``, their block. ``blocks`` has the groups of several: few, so that Spark need not move the members."""
+    few = materialize(blocks.filter("blocks > 1"), "blocks")
+    joined = members.join(few, "hub", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    return joined.withColumn("own", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int"))
 
 
 def stars(members: DataFrame, group_rows: int, group_grams: int) -> DataFrame:
@@ -401,10 +454,11 @@ def block_pairs(members: DataFrame, group_rows: int, group_grams: int) -> DataFr
 def rest_pairs(members: DataFrame, rest: DataFrame, rest_rows: int, group_grams: int) -> DataFrame:
     """cid, hub, i, j, whole: the blocks of a group's left-over classes, each with every block of the group."""
     left = members.join(rest, ["hub", "cid"], "left_semi")
-    few = blocks_of(left, rest_rows, group_grams)
-    all_of = blocks_of(members.join(few.select("hub"), "hub", "left_semi"), rest_rows, group_grams)
-    own = dealt(left, few).join(all_of.select("hub", F.col("blocks").alias("others")), "hub").withColumn("j", F.explode(F.sequence(F.lit(0), F.col("others") - 1)))
-    other = dealt(members, all_of).join(few.select("hub", F.col("blocks").alias("others")), "hub").withColumn("i", F.explode(F.sequence(F.lit(0), F.col("others") - 1)))
+    here = materialize(members.join(rest.select("hub").distinct(), "hub", "left_semi"), "rest")
+    few, all_of = (materialize(blocks_of(df, rest_rows, group_grams), "blocks") for df in (left, here))
+    others = lambda df: df.select("hub", F.col("blocks").alias("others"))
+    own = dealt(left, few).join(others(all_of), "hub").withColumn("j", F.explode(F.sequence(F.lit(0), F.col("others") - 1)))
+    other = dealt(here, all_of).join(others(few), "hub").withColumn("i", F.explode(F.sequence(F.lit(0), F.col("others") - 1)))
     names = ["cid", "hub", "i", "j"]
     both = own.withColumn("i", F.col("own")).select(*names).unionAll(other.withColumn("j", F.col("own")).select(*names))
     return both.distinct().withColumn("whole", F.lit(True))
@@ -414,9 +468,16 @@ def joined(rows: DataFrame, one: DataFrame, places: DataFrame, n: int, percent:
     """What ``_join_group`` finds when the sets of the classes gather at their places."""
     lists = places.groupBy("cid").agg(F.collect_list(F.struct("hub", "i", "j", "whole")).alias("places"))
     wanted = one.withColumn("cid", short("class")).join(lists, "cid").select(*(F.col(f"first.{c}").alias(c) for c in ROW), "class", "places")
-    bodies = rows.join(wanted, ROW)
-    sets = bodies.select("text", "class", "places").mapInArrow(_sets(n), "hub long, i int, j int, whole boolean, class binary, grams array<long>")
-    return materialize(sets.groupBy("hub", "i", "j").applyInArrow(_join_group(percent, levels, every), LINKS), "links")
+    wanted = materialize(wanted, "wanted")
+    h = F.xxhash64(*ROW).alias("h")
+    # Tasks know from a map of the wanted rows which texts need not be sent; the join drops what it lets through.
+    bits = map_of(wanted.select(h))
+    sets = rows.select("text", *ROW, h).mapInArrow(_sets(n, bits), ", ".join(f"{c} long" for c in ROW) + ", grams array<long>")
+    few = (wanted.agg(F.sum(F.size("places"))).first()[0] or 0) <= BROADCAST_PLACES
+    sent = sets.join(F.broadcast(wanted) if few else wanted, ROW).select("class", "grams", F.explode("places").alias("p")).select("p.hub", "p.i", "p.j", "p.whole", "class", "grams")
+    found = materialize(sent.groupBy("hub", "i", "j").applyInArrow(_join_group(percent, levels, every), LINKS), "links")
+    discard(wanted)
+    return found
 
 
 def _linked(rows: DataFrame, n: int, percent: int, group_rows: int, group_grams: int, every: bool) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -428,7 +489,7 @@ def _linked(rows: DataFrame, n: int, percent: int, group_rows: int, group_grams:
     heads = materialize(rows.mapInArrow(_prefixes(n, percent, levels), f"doc_id long, {place}, n_shingles long, class binary, prefix array<long>"), "prefixes")
     slim = materialize(heads.drop("prefix"), "classes")
     one = slim.filter("n_shingles > 0").groupBy("class").agg(F.min(F.struct(*ROW)).alias("first"))
-    members = group_members(heads.filter("n_shingles > 0"), one, percent)
+    members = group_members(heads.filter("n_shingles > 0"), percent)
     discard(heads)
     release(spark)
     if every:
