@@ -1,7 +1,7 @@
 """Removal of repeated 100-byte strings by suffix arrays, built by two-stage sorting.
 
 The array of a block of text: suffixes smaller than their successors are sorted
-directly, eight bytes at a time and ever fewer of them; the others are induced by one
+directly, by ranks of 8, 16, 32 and 64 bytes; the others are induced by one
 scan over the buckets of first bytes, a whole bucket at a time. Neighbours in the array that share ``length``
 bytes are occurrences of one string, and all but the earliest are repeats.
 
@@ -13,8 +13,9 @@ same anchor gathers its kin, and an array is built there. A repeat found in any
 arrays is one, and each repeat shares an array with an earlier occurrence, so the result
 is that of one array over everything. Copies of whole texts are found by their digests.
 
-Large gatherings are cut by anchor (``group_anchors``), and those still too large are
-dealt as pairs of blocks. Texts are read twice beside the anchors' pass: to cut the
+Small gatherings share an array of about ``group_anchors`` places, where a text's overlapping
+parts become one; large ones are cut by anchor, and those still too large are dealt as pairs
+of blocks. Texts are read twice beside the anchors' pass: to cut the
 texts around anchors and to remove.
 
 Defined results: null and empty texts have nothing to remove; a null id counts as
@@ -35,12 +36,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kinfold.llm.chunkreuse import Roller
-from kinfold.llm.common import bounded_batches, discard, materialize, release, texts
+from kinfold.llm.common import bounded_batches, discard, materialize, release, texts, tidy
 from kinfold.llm.ngramjoin import mixed
 
 LENGTH = 100
 GRAM = 36
-GROUP_ANCHORS = 40_000
+GROUP_ANCHORS = 10_000
 BLOCK_ANCHORS = 100_000
 NULL_ID = -(2**63)
 _ROLLER = Roller()
@@ -70,29 +71,30 @@ def ascending(text: np.ndarray) -> np.ndarray:
     return out
 
 
+def dense(keys: np.ndarray) -> np.ndarray:
+    """Place of each key among the different ones, from 0."""
+    order = np.argsort(keys)
+    ordered = keys[order]
+    new = np.zeros(len(keys), dtype=np.int64)
+    new[1:] = ordered[1:] != ordered[:-1]
+    out = np.empty(len(keys), dtype=np.int64)
+    out[order] = np.cumsum(new)
+    return out
+
+
+def after(ranks: np.ndarray, step: int) -> np.ndarray:
+    """The rank ``step`` bytes on; beyond the end the shorter rest is smaller, and all are smaller than ranks."""
+    return np.concatenate([ranks[step:] + step, np.arange(step - 1, -1, -1)[: len(ranks)]])[: len(ranks)] if step else ranks
+
+
 def sorted_directly(places: np.ndarray, words: np.ndarray, depth: int) -> np.ndarray:
-    """``places`` by their first ``depth`` bytes: all by 8 bytes, then only those still tied by 8 more."""
-    n = len(words)
-    places = places[np.argsort(words[places], kind="stable")]
-    key = words[places]
-    new = np.ones(len(places), dtype=bool)
-    new[1:] = key[1:] != key[:-1]
-    for at in range(8, depth, 8):
-        alone = new & np.append(new[1:], True)
-        tied = np.flatnonzero(~alone)
-        if not len(tied):
-            break
-        group = np.cumsum(new)[tied]
-        there = places[tied] + at
-        key = np.where(there < n, words[np.minimum(there, n - 1)], np.uint64(0))
-        beyond = np.maximum(there - n + 1, 0)  # a suffix that has ended comes before zeros
-        order = np.lexsort((-beyond, key, group))
-        places[tied] = places[tied][order]
-        key, group, beyond = key[order], group[order], beyond[order]
-        first = np.ones(len(tied), dtype=bool)
-        first[1:] = (group[1:] != group[:-1]) | (key[1:] != key[:-1]) | (beyond[1:] != beyond[:-1])
-        new[tied] |= first
-    return places
+    """``places`` by their first ``depth`` bytes: ranks of 8 bytes give those of 16, and so on; two ranks make up ``depth``."""
+    ranks, width = dense(words), 8
+    while 2 * width <= depth and len(ranks) and ranks.max() + 1 < len(ranks):
+        ranks = dense((ranks << 32) | after(ranks, width))
+        width *= 2
+    key = (ranks << 32) | after(ranks, max(0, depth - width))
+    return places[np.argsort(key[places])]
 
 
 def suffix_array(text: np.ndarray, depth: int) -> np.ndarray:
@@ -244,12 +246,27 @@ def merged(begins: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return begins[heads], np.maximum.reduceat(ends, heads)
 
 
+def united(rows: list[tuple[int, int, int, bytes]]) -> list[tuple[int, int, int, bytes]]:
+    """Sorted (key_id, crc, offset, body) with overlapping bodies of a text as one, so that none repeats itself."""
+    out: list[tuple[int, int, int, list[bytes]]] = []
+    end = 0
+    for key_id, crc, offset, body in rows:
+        if out and out[-1][:2] == (key_id, crc) and offset <= end:
+            if offset + len(body) > end:
+                out[-1][3].append(body[end - offset :])
+                end = offset + len(body)
+        else:
+            out.append((key_id, crc, offset, [body]))
+            end = offset + len(body)
+    return [(key_id, crc, offset, b"".join(parts)) for key_id, crc, offset, parts in out]
+
+
 def _find(length: int):
     schema = pa.schema([("key_id", pa.int64()), ("crc", pa.int64()), ("begins", pa.list_(pa.int64())), ("ends", pa.list_(pa.int64()))])
 
     def run(table: pa.Table) -> pa.Table:
         table = table.select(["key_id", "crc", "offset", "body"])
-        rows = sorted(set(zip(*(table.column(c).to_pylist() for c in table.column_names))))
+        rows = united(sorted(set(zip(*(table.column(c).to_pylist() for c in table.column_names)))))
         places: dict[tuple[int, int], list] = {}
         if len(rows):
             for (key_id, crc, offset, _), starts in zip(rows, repeats([r[3] for r in rows], length)):
@@ -261,7 +278,9 @@ def _find(length: int):
             begins, ends = merged(starts, starts + length)
             out.append((key_id, crc, begins, ends))
         columns = list(zip(*out)) or [()] * 4
-        return pa.table([pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)
+        found = pa.table([pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)
+        tidy()
+        return found
 
     return run
 
@@ -303,16 +322,18 @@ def live_anchors(keyed: DataFrame, firsts: DataFrame, length: int, gram: int, gr
     shared_grams = materialize(sums.filter("low <> high or twice > 0").select("gram", "hub"), "shared")
     release(spark)
     live = found.join(shared_grams, "gram").join(firsts, ["key_id", "crc"], "left_semi").select("gram", "key_id", "crc", "place", "more", "hub")
-    live = materialize(live, "anchors")
+    stored = live = materialize(live, "anchors")
     discard(found, shared_grams)
     release(spark)
     places = F.concat(F.array("place"), F.coalesce("more", F.array().cast("array<int>")))
+    arrays = max(1, -(-(live.agg(F.sum(F.size(places))).first()[0] or 0) // group_anchors))
+    live = live.withColumn("hub", F.pmod(F.xxhash64("hub"), F.lit(arrays)).cast("long"))
     sizes = live.groupBy("hub").agg(F.ceil(F.sum(F.size(places)) / group_anchors).cast("int").alias("slices"))
     large = materialize(sizes.filter("slices > 1"), "slices")  # few: one for ``group_anchors`` places at most
     cut = live.join(large, "hub", "left").withColumn("slice", F.coalesce(F.pmod("gram", F.col("slices")), F.lit(0)).cast("int"))
     groups = cut.groupBy("key_id", "crc", "hub", "slice").agg(F.flatten(F.collect_list(places)).alias("places"))
     groups = materialize(groups.groupBy("key_id", "crc").agg(F.collect_list(F.struct("hub", "slice", "places")).alias("groups")), "live")
-    discard(live, large)
+    discard(stored, large)
     return groups
 
 
