@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 BATCH_ROWS = 1000
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 4 << 20
 ROW = ["kinfold_file", "kinfold_row"]
 
 
@@ -50,11 +50,14 @@ def new_path(spark: SparkSession, tag: str) -> str:
     return f"{work_dir(spark)}/{spark.sparkContext.applicationId}-{tag}-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame, tag: str) -> DataFrame:
-    """Write ``df`` as Parquet into the shared folder and return the reread table."""
+def materialize(df: DataFrame, tag: str, files: int | None = None) -> DataFrame:
+    """Write ``df`` as Parquet into the shared folder and return the reread table.
+
+    ``files`` is for tables of a few rows, which would else be a file for each shuffle partition.
+    """
     spark = df.sparkSession
     path = new_path(spark, tag)
-    df.write.parquet(path)
+    (df if files is None else df.coalesce(files)).write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     _STORED[out] = path
     return out

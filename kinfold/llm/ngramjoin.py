@@ -52,7 +52,7 @@ MAP_BITS = 26
 BROADCAST_PLACES = 500_000  # of about 40 bytes each; with more, sets and places meet by shuffle
 GROUP_ROWS = 250
 REST_TIMES = 4
-GROUP_GRAMS = 1_000_000
+GROUP_GRAMS = 500_000
 SLACK = 10  # longer prefixes by a tenth of the set
 FOLD = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 _WORDS: dict[bytes, int] = {}
@@ -190,6 +190,7 @@ def _live_only(bits: np.ndarray):
                 at.append(here.astype(np.int32))
             own = [c for c in batch.schema.names if c != "prefix"]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in own), pa.array(cut, pa.list_(pa.int64())), pa.array(at, pa.list_(pa.int32()))], [*own, "prefix", "at"])
+        tidy()
 
     return run
 
@@ -378,6 +379,7 @@ def _combined(batches):
         last = np.append(first[1:], len(gram)) - 1 if len(first) else first
         columns = (gram[first], band[first], cid[first], cid[last])
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names)
+    tidy()
 
 
 def runs(sets: DataFrame) -> DataFrame:
@@ -430,7 +432,7 @@ def blocks_of(members: DataFrame, group_rows: int, group_grams: int) -> DataFram
 
 def dealt(members: DataFrame, blocks: DataFrame) -> DataFrame:
     """``members`` with ``own``, their block. ``blocks`` has the groups of several: few, so that Spark need not move the members."""
-    few = materialize(blocks.filter("blocks > 1"), "blocks")
+    few = materialize(blocks.filter("blocks > 1"), "blocks", 4)
     joined = members.join(few, "hub", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
     return joined.withColumn("own", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int"))
 
@@ -455,7 +457,7 @@ def rest_pairs(members: DataFrame, rest: DataFrame, rest_rows: int, group_grams:
     """cid, hub, i, j, whole: the blocks of a group's left-over classes, each with every block of the group."""
     left = members.join(rest, ["hub", "cid"], "left_semi")
     here = materialize(members.join(rest.select("hub").distinct(), "hub", "left_semi"), "rest")
-    few, all_of = (materialize(blocks_of(df, rest_rows, group_grams), "blocks") for df in (left, here))
+    few, all_of = (materialize(blocks_of(df, rest_rows, group_grams), "blocks", 4) for df in (left, here))
     others = lambda df: df.select("hub", F.col("blocks").alias("others"))
     own = dealt(left, few).join(others(all_of), "hub").withColumn("j", F.explode(F.sequence(F.lit(0), F.col("others") - 1)))
     other = dealt(here, all_of).join(others(few), "hub").withColumn("i", F.explode(F.sequence(F.lit(0), F.col("others") - 1)))

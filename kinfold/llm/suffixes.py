@@ -329,7 +329,7 @@ def live_anchors(keyed: DataFrame, firsts: DataFrame, length: int, gram: int, gr
     arrays = max(1, -(-(live.agg(F.sum(F.size(places))).first()[0] or 0) // group_anchors))
     live = live.withColumn("hub", F.pmod(F.xxhash64("hub"), F.lit(arrays)).cast("long"))
     sizes = live.groupBy("hub").agg(F.ceil(F.sum(F.size(places)) / group_anchors).cast("int").alias("slices"))
-    large = materialize(sizes.filter("slices > 1"), "slices")  # few: one for ``group_anchors`` places at most
+    large = materialize(sizes.filter("slices > 1"), "slices", 4)  # few: one for ``group_anchors`` places at most
     cut = live.join(large, "hub", "left").withColumn("slice", F.coalesce(F.pmod("gram", F.col("slices")), F.lit(0)).cast("int"))
     groups = cut.groupBy("key_id", "crc", "hub", "slice").agg(F.flatten(F.collect_list(places)).alias("places"))
     groups = materialize(groups.groupBy("key_id", "crc").agg(F.collect_list(F.struct("hub", "slice", "places")).alias("groups")), "live")
@@ -343,7 +343,7 @@ def repeated_spans(keyed: DataFrame, firsts: DataFrame, length: int = LENGTH, gr
     groups = live_anchors(keyed, firsts, length, gram, group_anchors)
     release(spark)
     sizes = groups.select(F.explode("groups").alias("g")).groupBy("g.hub", "g.slice").agg(F.ceil(F.sum(F.size("g.places")) / block_anchors).cast("int").alias("blocks"))
-    large = materialize(sizes.filter("blocks > 1"), "blocks")
+    large = materialize(sizes.filter("blocks > 1"), "blocks", 4)
     bodies = keyed.join(groups, ["key_id", "crc"]).mapInArrow(_cut(length, gram), "hub long, slice int, key_id long, crc long, offset long, body binary")
     dealt = bodies.join(large, ["hub", "slice"], "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
     dealt = dealt.withColumn("own", F.pmod(F.xxhash64("key_id", "crc"), F.col("blocks")).cast("int"))

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kinfold.llm import gam
-from kinfold.llm.common import bounded_batches, discard, held_out, materialize, texts
+from kinfold.llm.common import bounded_batches, discard, held_out, materialize, texts, tidy
 from kinfold.llm.textstats import labelled
 
 MAX_LABELLED = 20_000
@@ -417,5 +417,6 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, label: str = "toxic", mod: in
             found = lexicon.all_features([t or "" for t in batch.column(where).to_pylist()])
             x = np.array(found, dtype=float).reshape(-1, len(FEATURES))
             yield batch.filter(pa.array(model.score(x) < 0.5, pa.bool_()))
+        tidy()
 
     return docs.mapInArrow(run, docs.schema)
