@@ -97,24 +97,43 @@ def test_association(table: DataFrame, test: str = "fisher") -> DataFrame:
     )
 
 
+RANGES = 256  # of p-values, on a logarithmic scale, that a family is ranked in
+
+
 def adjust(df: DataFrame, method: str = "bh", p: str = "p_value", keys: Sequence[str] = (), out: str = "p_adjusted") -> DataFrame:
-    """Adds the adjusted p-value; each combination of ``keys`` is a family of its own.
+    """Adds the adjusted p-value; each combination of ``keys`` is a family of its own. A null p stays null.
 
-    Ties share their value. A family is a table of item pairs, whose number does not
-    grow with the records.
+    Ties share their value. A family's p-values are cut into ``RANGES`` ranges; ranks and
+    running extremes are taken within a range and carried over from the ranges' totals, so
+    that no task has to sort a whole family.
     """
     choose(method, CORRECTIONS, "correction")
-    family = W.partitionBy(*keys) if keys else W.partitionBy(F.lit(0))
-    m = F.count(p).over(family)
+    keys = list(keys)
+    # Eight ranges to a factor of e, from e**-32 up; what is smaller shares the first.
+    part = F.when(F.col(p) > 0, F.greatest(F.lit(0), F.floor(RANGES + F.log(F.col(p)) * (RANGES / 32.0)))).otherwise(0).cast("int")
+    ranged = df.withColumn("_part", part)
+    counts = ranged.groupBy(*keys, "_part").agg(F.count(p).alias("_n"))
+    family = W.partitionBy(*keys) if keys else W.partitionBy(F.lit(0))  # of at most RANGES + 1 rows
+    below = family.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
+    counts = counts.select(*keys, "_part", F.sum("_n").over(family).alias("_m"), F.coalesce(F.sum("_n").over(below), F.lit(0)).alias("_below"))
+    joined = ranged.join(F.broadcast(counts) if not keys else counts, [*keys, "_part"])
     if method == "bonferroni":
-        return df.withColumn(out, F.least(F.lit(1.0), F.col(p) * m))
-    rising = family.orderBy(F.asc(p)).rangeBetween(W.unboundedPreceding, 0)
+        return joined.withColumn(out, F.when(F.col(p).isNotNull(), F.least(F.lit(1.0), F.col(p) * F.col("_m")))).select(*df.columns, out)
+    here = W.partitionBy(*keys, "_part")
+    rising = here.orderBy(F.asc(p)).rangeBetween(W.unboundedPreceding, 0)
     if method == "holm":
-        stepped = df.withColumn("_step", (m - F.rank().over(family.orderBy(F.asc(p))) + 1) * F.col(p))
-        return stepped.withColumn(out, F.least(F.lit(1.0), F.max("_step").over(rising))).drop("_step")
-    stepped = df.withColumn("_step", F.col(p) * m / F.count(p).over(rising))
-    falling = family.orderBy(F.desc(p)).rangeBetween(W.unboundedPreceding, 0)
-    return stepped.withColumn(out, F.least(F.lit(1.0), F.min("_step").over(falling))).drop("_step")
+        step = (F.col("_m") - F.col("_below") - F.rank().over(here.orderBy(F.asc(p))) + 1) * F.col(p)
+        running, edge, best = rising, family.orderBy("_part").rowsBetween(W.unboundedPreceding, -1), F.max
+    else:
+        step = F.col(p) * F.col("_m") / (F.col("_below") + F.count(p).over(rising))
+        running, edge, best = here.orderBy(F.desc(p)).rangeBetween(W.unboundedPreceding, 0), family.orderBy("_part").rowsBetween(1, W.unboundedFollowing), F.min
+    stepped = joined.withColumn("_step", step)
+    others = stepped.groupBy(*keys, "_part").agg(best("_step").alias("_own"))
+    others = others.select(*keys, "_part", best("_own").over(edge).alias("_other"))
+    meet = F.greatest if method == "holm" else F.least
+    adjusted = stepped.withColumn("_run", best("_step").over(running)).join(F.broadcast(others) if not keys else others, [*keys, "_part"])
+    value = F.when(F.col(p).isNotNull(), F.least(F.lit(1.0), meet(F.col("_run"), F.coalesce("_other", "_run"))))
+    return adjusted.withColumn(out, value).select(*df.columns, out)
 
 
 def stars(p: Column) -> Column:

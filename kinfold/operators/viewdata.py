@@ -6,6 +6,8 @@ return pandas tables, which are of the models' size.
 
 from __future__ import annotations
 
+import colorsys
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -69,10 +71,62 @@ def spring(g: graph.Graph, rounds: int = 100, seed: int = 0) -> pd.DataFrame:
     return pd.DataFrame({"item": g.items, "x": place[:, 0], "y": place[:, 1]})
 
 
-def layout(g: graph.Graph, kind: str = "spring", seed: int = 0) -> pd.DataFrame:
-    if kind not in ("spring", "circle"):
-        raise ValueError(f"layout must be spring or circle; got {kind!r}")
-    return circle(g.items) if kind == "circle" else spring(g, seed=seed)
+def shell(g: graph.Graph) -> pd.DataFrame:
+    """Circles around the item of highest degree: each a step further along the edges."""
+    depth = {}
+    order = sorted(range(len(g.items)), key=lambda i: (-len(g.neighbours[i]), g.items[i]))
+    for start in order:
+        if start in depth:
+            continue
+        depth[start], ring = 0 if not depth else 1, [start]
+        while ring:
+            ring = sorted({j for i in ring for j in g.neighbours[i] if j not in depth} - set(depth))
+            for j in ring:
+                depth[j] = 1 + min(depth[i] for i in g.neighbours[j] if i in depth)
+    x, y = np.zeros(len(g.items)), np.zeros(len(g.items))
+    for level in set(depth.values()):
+        on = [i for i in range(len(g.items)) if depth[i] == level]
+        for k, i in enumerate(on):
+            angle = 2 * np.pi * k / len(on)
+            x[i], y[i] = level * np.cos(angle), level * np.sin(angle)
+    return pd.DataFrame({"item": g.items, "x": x, "y": y})
+
+
+def stress(g: graph.Graph, rounds: int = 60) -> pd.DataFrame:
+    """Places whose distances follow the numbers of edges between items, by stress majorisation from a circle."""
+    n = len(g.items)
+    far = np.full((n, n), float(max(1, n)))
+    for i in range(n):
+        far[i, i], ring, seen, step = 0.0, [i], {i}, 0
+        while ring:
+            step += 1
+            ring = list({k for j in ring for k in g.neighbours[j]} - seen)
+            seen.update(ring)
+            far[i, ring] = step
+    place = circle(g.items)[["x", "y"]].to_numpy(dtype=float)
+    with np.errstate(divide="ignore"):
+        weight = np.where(far > 0, far**-2.0, 0.0)
+    total = weight.sum(1, keepdims=True)
+    for _ in range(rounds if n > 1 else 0):
+        apart = place[:, None] - place[None]
+        size = np.maximum(np.sqrt((apart**2).sum(-1)), 1e-9)
+        place = (weight[..., None] * (place[None] + (far / size)[..., None] * apart)).sum(1) / total
+    return pd.DataFrame({"item": g.items, "x": place[:, 0], "y": place[:, 1]})
+
+
+def layout(g: graph.Graph, kind: str = "stress", seed: int = 0) -> pd.DataFrame:
+    """item, x, y by ``stress``, ``spring``, ``shell`` or ``circle``; another name gives ``stress``."""
+    made = {"spring": lambda: spring(g, seed=seed), "shell": lambda: shell(g), "circle": lambda: circle(g.items)}
+    return made.get(kind, lambda: stress(g))()
+
+
+def categorical_colors(n: int) -> list[str]:
+    """``n`` different colours as #rrggbb: hues in golden steps around the circle."""
+    out = []
+    for k in range(n):
+        r, g, b = colorsys.hls_to_rgb((0.6 + 0.6180339887 * k) % 1.0, 0.45 + 0.1 * (k % 3), 0.65)
+        out.append("#" + "".join(f"{round(255 * v):02x}" for v in (r, g, b)))
+    return out
 
 
 # Rules
@@ -108,7 +162,7 @@ def arm_matrix(rules: DataFrame, metric: str = "lift") -> DataFrame:
 # Networks
 
 
-def network_nodes(net: network.Network, communities: pd.DataFrame, kind: str = "spring", seed: int = 0) -> pd.DataFrame:
+def network_nodes(net: network.Network, communities: pd.DataFrame, kind: str = "stress", seed: int = 0) -> pd.DataFrame:
     """item, x, y, size (by prevalence, 15 to 50), community."""
     g = graph.collect_graph(net.edges)
     prevalence = net.nodes.toPandas().set_index("item")["prevalence"]

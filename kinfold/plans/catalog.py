@@ -449,14 +449,14 @@ _DOMINANT = "dom as (select item, min_by(g, row(-k, g)) as community from (selec
 
 
 def _itemsets(least: str = "ceil(0.01 * n_txns - 1e-9)", most: int = 4) -> str:
-    """sets(items, n, length) and n_txns, over t."""
-    parts = []
+    """sets(items, n, length) and n_txns, over t; a level's occurrences are those of the level before that are frequent."""
+    parts = ["nt as (select count(distinct id) as n_txns from t), o1 as materialized (select id, [item] as items from t)"]
     for k in range(1, most + 1):
-        joins = " ".join(f"join t t{i} on t{i}.id = t1.id and t{i}.item > t{i - 1}.item" for i in range(2, k + 1))
-        names = ", ".join(f"t{i}.item" for i in range(1, k + 1))
-        parts.append(f"select [{names}] as items, count(*) as n, {k} as length from t t1 {joins} group by {names}")
-    return f"""nt as (select count(distinct id) as n_txns from t), every as ({" union all ".join(parts)}),
-sets as (select items, n, length, n_txns from every, nt where n >= {least})"""
+        if k > 1:
+            parts.append(f"o{k} as materialized (select o.id, list_append(o.items, t.item) as items from o{k - 1} o join f{k - 1} using (items) join t on t.id = o.id and t.item > o.items[{k - 1}])")
+        parts.append(f"f{k} as materialized (select items, count(*) as n, n_txns from o{k}, nt group by items, n_txns having count(*) >= {least})")
+    every = " union all ".join(f"select items, n, {k} as length, n_txns from f{k}" for k in range(1, most + 1))
+    return ", ".join(parts) + f", sets as ({every})"
 
 
 def _rules(confidence: float) -> str:

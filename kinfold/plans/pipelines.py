@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from kinfold.functions import schema
 from kinfold.functions.schema import GROUP, STRATUM
 from kinfold.operators import graph, mixture, network, prep
 from kinfold.operators import strata as by_group
@@ -18,8 +19,9 @@ from kinfold.sources.io import read_events
 
 
 def loaded(source, group_col: str) -> DataFrame:
+    """The event columns of a path or table; a null id or item raises when it is read, a missing column at once."""
     df = read_events(SparkSession.getActiveSession() or SparkSession.builder.getOrCreate(), source) if isinstance(source, str) else source
-    return df if group_col == GROUP else df.drop(GROUP).withColumnRenamed(group_col, GROUP)
+    return schema.events(df, group_col)
 
 
 @dataclass
