@@ -333,7 +333,7 @@ dw as (select r, i, k, array_to_string(list_slice(ws, i, i + k - 1), ' ') as win
   from (select r, ws, k, unnest(range(1, len(ws) - k + 2)) as i from d, (select distinct k from bw) where len(ws) >= k)),
 hits as (select r, i, k, item_id from dw join bw using (k, win)),
 places as (select r, count(*) as n_hit from (select distinct r, unnest(range(i, i + k)) as p from hits) group by r),
-items as (select r, count(*) as n_items, sha256(string_agg(id, ',' order by id)) as sha from (select distinct r, item_id::varchar as id from hits) group by r)
+items as (select r, count(*) as n_items, sha256(string_agg(id, ',' order by id)) as sha from (select distinct r, item_id::varchar as id from hits) group by r),
 dt as (select r, unnest(ws) as w, unnest(range(1, len(ws) + 1)) as p from d),
 tot as (select w, count(*) as n from dt group by w),
 wt as (select distinct win, unnest(string_split(win, ' ')) as w from bw),
