@@ -8,7 +8,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from kinfold.functions import special, stats
-from kinfold.operators import graph, mining, network, prep, strata, validate
+from kinfold.operators import graph, mining, network, prep, strata, validate, viewdata
 from kinfold.plans import pipelines
 from tests.fixtures import EXCLUSIVE, SCHEMA, TRIANGLES, fifty, planted
 
@@ -187,3 +187,16 @@ def test_pipelines(spark, ev, tmp_path):
     assert net.communities.n_communities >= 3 and set(net.stratified) == {"A", "B", "C"}
     assert len(net.comparison) == 3
     assert net.comparison[("A", "B")].shared.count() == 1
+
+
+def test_layouts_and_colours():
+    g = graph.graph_of([("a", "b", 1.0), ("b", "c", 1.0), ("c", "d", 2.0), ("x", "y", 1.0)])
+    for kind in ("stress", "spring", "shell", "circle"):
+        t = viewdata.layout(g, kind)
+        assert list(t["item"]) == g.items and t[["x", "y"]].notna().all().all()
+    assert viewdata.layout(g, "unknown").equals(viewdata.layout(g, "stress"))
+    t = viewdata.layout(g, "stress").set_index("item")
+    far = lambda a, b: ((t.loc[a, "x"] - t.loc[b, "x"]) ** 2 + (t.loc[a, "y"] - t.loc[b, "y"]) ** 2) ** 0.5
+    assert far("a", "b") < far("a", "c") < far("a", "d")
+    colours = viewdata.categorical_colors(30)
+    assert len(set(colours)) == 30 and all(len(c) == 7 and c[0] == "#" for c in colours)
