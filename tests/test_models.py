@@ -142,3 +142,27 @@ def test_chart_data(spark):
     assert viewdata.item_prevalence(ev).first().overall == pytest.approx(40.0)
     assert viewdata.record_heatmap(trans, 10).count() == 10
     assert list(viewdata.min_max([1, 1], 0, 10)) == [5, 5]
+
+
+def test_restarts_and_sizes_share_passes(monkeypatch):
+    from kinfold.operators import patterns
+
+    seen, plain = [], patterns.sums
+    monkeypatch.setattr(patterns, "sums", lambda *a: seen.append(1) or plain(*a))
+    x, _ = two_classes(60)
+    mixture.select_k(of_matrix(x), range(2, 6), n_init=2, max_iter=5, tol=0.0)
+    assert len(seen) <= 6
+
+
+@pytest.mark.parametrize("fit", [lambda ev: mixture.bernoulli_clustering(ev, [2], n_init=2), lambda ev: hdp.hdp_clustering(ev, k_max=4, n_init=1)])
+def test_models_read_their_events_once(spark, fit):
+    count = spark.sparkContext.accumulator(0)
+
+    def counted(frames):
+        for f in frames:
+            count.add(len(f))
+            yield f
+
+    ev = spark.createDataFrame(planted(), SCHEMA).mapInPandas(counted, SCHEMA)
+    assert fit(ev).assignments.count() == 200
+    assert count.value == 400
