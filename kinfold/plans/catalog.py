@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from kinfold.functions import stats
 from kinfold.functions.schema import STRATUM
-from kinfold.operators import graph, hdp, mining, mixture, network, posterior, prep, strata, validate, viewdata
+from kinfold.operators import graph, hdp, mining, mixture, network, posterior, prep, strata, validate, viewdata, wide
 from kinfold.operators.patterns import compress
 from kinfold.plans import pipelines
 from kinfold.sources import io
@@ -348,15 +348,18 @@ def select_k_bic(s, d):
 
 
 def _hdp(s, d):
-    return hdp.hdp_clustering(_words(s, d), k_max=10, n_init=1, max_iter=100)
+    """Of all words of all documents with a language, as records in it; as everywhere, records have two items or more."""
+    records = io.doc_words(s, d, ("group",)).filter(F.col("group").isNotNull() & (F.size("items") >= 2))
+    found = wide.gather(records, "group")
+    return found, wide.fit_hdp(found, k_max=10, n_init=1, max_iter=100)
 
 
 def hdp_clusters(s, d):
-    return _frame(s, _hdp(s, d).profiles, "cluster long, beta_weight double, item string, theta double")
+    return rounded(wide.profiles(*_hdp(s, d)))
 
 
 def hdp_categories(s, d):
-    return _frame(s, hdp.categorize(_hdp(s, d)), "cluster long, beta_weight double, category string")
+    return rounded(hdp.categories(wide.weights(*_hdp(s, d))))
 
 
 _INTERVALS = "`group` string, k long, cluster long, item string, pi_mean double, pi_ci_low double, pi_ci_high double, theta_mean double, theta_ci_low double, theta_ci_high double"

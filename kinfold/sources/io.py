@@ -108,6 +108,29 @@ def doc_tokens(spark: SparkSession, sf_dir: str, least: float = 0.04, most: floa
     return tokens.join(kept, "item", "left_semi")
 
 
+def doc_words(spark: SparkSession, sf_dir: str, keys: tuple[str, ...] = ()) -> DataFrame:
+    """keys, id, items: documents as records of all their distinct words, of any length and share of documents.
+
+    Rows of one id (and keys) are one record, as in ``prep.transactions``. All signs of
+    ``TOKEN`` are in Latin-1, so words are split as bytes.
+    """
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("doc_id").alias("id"), F.col("lang").alias("group"), F.lower("text").alias("text"))
+    whole = docs.groupBy(*keys, "id").agg(F.concat_ws("\n", F.sort_array(F.collect_list("text"))).alias("text"))
+    letters = re.compile(TOKEN)
+    blanks = bytes(32 if letters.match(chr(c)) else c for c in range(256))
+
+    def split(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            found = [sorted({*t.encode("latin-1", "replace").translate(blanks).split()}) for t in batch.column("text").to_pylist()]
+            items = pa.array([[w.decode("latin-1") for w in ws] for ws in found], pa.list_(pa.string()))
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in (*keys, "id")), items], [*keys, "id", "items"])
+
+    kinds = dict(whole.dtypes)
+    return whole.mapInArrow(split, ", ".join(f"`{c}` {kinds[c]}" for c in (*keys, "id")) + ", items array<string>")
+
+
 def sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A user's day of events as a record: items are event types, groups user ids modulo 3."""
     ev = spark.read.parquet(f"{sf_dir}/events.parquet")
