@@ -114,3 +114,12 @@ def test_hdp_categories_reads_rare_words(spark, few_spanish):
     """Under the cut to words of 12 to 40 % of documents, Spanish had no records, which raised."""
     kinds = {r.category for r in catalog.hdp_categories(spark, few_spanish[0]).collect() if r.beta_weight > 0.01}
     assert "group_es_only" in kinds
+
+
+def test_hdp_clusters_has_every_word(spark, few_spanish):
+    """Under the cut, neither rare nor short words had rows."""
+    d, words = few_spanish
+    rows = catalog.hdp_clusters(spark, d).collect()
+    want = {*words["en"], *words["es"], "unseen"}
+    assert sorted(r.item for r in rows) == sorted([*want] * 10) and {r.cluster for r in rows} == set(range(1, 11))
+    assert all(0 < r.theta < 1 for r in rows if r.cluster == 1)
