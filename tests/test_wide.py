@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from kinfold.operators import hdp, wide
+from kinfold.operators import hdp, mixture, wide
 from kinfold.operators.patterns import of_matrix
 from kinfold.plans import catalog
 from kinfold.sources import io
@@ -123,3 +123,36 @@ def test_hdp_clusters_has_every_word(spark, few_spanish):
     want = {*words["en"], *words["es"], "unseen"}
     assert sorted(r.item for r in rows) == sorted([*want] * 10) and {r.cluster for r in rows} == set(range(1, 11))
     assert all(0 < r.theta < 1 for r in rows if r.cluster == 1)
+
+
+@pytest.mark.parametrize("local_cells", [10**6, 0])
+def test_wide_mixture_equals_dense(spark, local_cells):
+    rows = records()
+    items, x, _, seeds = dense(spark, rows)
+    p = wide.gather(spark.createDataFrame(rows, "id long, `group` string, items array<string>"), None, local_cells)
+    found = wide.select_k(p, [1, 3], n_init=2, max_iter=6)
+    want = {}
+    for k in (1, 3):
+        for run in range(2):
+            theta = np.clip(x.mean(0) * (0.5 + np.array([wide.uniform(seeds, 0, run, i) for i in range(k)])), 0.01, 0.99)
+            pi = np.full(k, 1 / k)
+            for step in range(7):
+                z = np.log(pi) + x @ np.log(theta / (1 - theta)).T + np.log1p(-theta).sum(1)
+                top = z.max(1, keepdims=True)
+                r, total = np.exp(z - top), (top[:, 0] + np.log(np.exp(z - top).sum(1))).sum()
+                r /= r.sum(1, keepdims=True)
+                pi, theta = r.mean(0), np.clip(r.T @ x / r.sum(0)[:, None], 1e-10, 1 - 1e-10)
+            want[k] = min(want.get(k, np.inf), mixture.bic(total, k, len(items), len(x)))
+    assert dict(zip(found["k"], found["bic"])) == pytest.approx(want, rel=1e-9)
+    with pytest.raises(ValueError):
+        wide.select_k(p, [])
+
+
+def test_select_k_bic_counts_every_word(spark, few_spanish):
+    """Its table is the one of all 13 words; the cut left no Spanish and no single one."""
+    d, words = few_spanish
+    found = {r.k: r.bic for r in catalog.select_k_bic(spark, d).collect()}
+    p = wide.gather(io.doc_words(spark, d))
+    assert p.n_items == len(words["en"]) + len(words["es"]) + 1 and p.n_records == 177
+    want = wide.select_k(p, range(2, 6), n_init=2, max_iter=50)
+    assert found == pytest.approx(dict(zip(want["k"], want["bic"])), abs=1e-6)
