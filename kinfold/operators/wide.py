@@ -13,6 +13,8 @@ on they have the same parameters anyway. Nothing is left out, by frequency or ot
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 from collections.abc import Generator, Iterable
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
@@ -26,7 +28,8 @@ from kinfold.functions import special
 from kinfold.operators import hdp, mixture
 
 LOCAL_CELLS = 4_000_000
-CHUNK_CELLS, BLOCK_CELLS, RANGE = 4_000_000, 4_000_000, 1 << 15
+CHUNK_CELLS, BLOCK_CELLS, RANGE = 2_000_000, 2_000_000, 1 << 15
+BATCH = {"maxRecordsPerBatch": "1000", "maxBytesPerBatch": str(4 << 20)}  # as in ``llm``; by default all of a task's blocks are one batch
 BLOCK = "seeds binary, counts binary, times binary, docs binary, names array<string>, place binary"
 HALVES = np.uint64(30), np.uint64(27), np.uint64(31)
 
@@ -62,6 +65,15 @@ def chunked(batches, cells: int, width):
         yield pa.Table.from_batches(held).combine_chunks()
 
 
+def give_back() -> None:
+    """Memory of arrays that are gone, as workers are used again."""
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def only(column):
     """The one chunk of a combined column."""
     return column.chunk(0) if column.num_chunks else column.combine_chunks()
@@ -87,6 +99,8 @@ def invert(batches):
         whole = pa.RecordBatch.from_arrays([flat.dictionary, pa.array(np.full(len(counts), part + k)), lists_of(counts, docs), pa.nulls(len(counts), kinds[3])], names)
         for at in range(0, len(counts), 20_000):
             yield whole.slice(at, 20_000)
+        del table, lists, flat, of, order, docs, whole
+        give_back()
 
 
 def joiner(start: dict[int, int]):
@@ -116,6 +130,7 @@ def joiner(start: dict[int, int]):
             name, kept = items[-1].as_py(), [*kept, docs[last:]]
         if name is not None:
             yield pa.RecordBatch.from_pydict({"item": [name], "docs": [np.concatenate(kept).tobytes()]})
+        give_back()
 
     return run
 
@@ -137,6 +152,8 @@ def pack(batches):
         place = (np.cumsum(new) - 1).astype(np.int32)
         block = {"seeds": seeds[new], "counts": lengths[new], "times": np.bincount(place).astype(float), "docs": docs[np.repeat(new, lengths)], "place": place}
         yield pa.RecordBatch.from_pydict({k: [v.tobytes()] for k, v in block.items()} | {"names": pa.array([table.column("item").to_pylist()], pa.list_(pa.string()))}).select([c.split()[0] for c in BLOCK.split(", ")])
+        del table, docs, block
+        give_back()
 
 
 def opened(block: dict) -> tuple[np.ndarray, ...]:
@@ -161,6 +178,8 @@ class Wide:
 def gather(records: DataFrame, group: str | None = None, local_cells: int = LOCAL_CELLS) -> Wide:
     """Columns of a table with ``items`` (arrays of distinct items) and, optionally, a column of groups; it is read once."""
     spark = records.sparkSession
+    for name, value in BATCH.items():
+        spark.conf.set(f"spark.sql.execution.arrow.{name}", value)
     named = records.select((F.col(group).cast("string") if group else F.lit("all")).alias("group"), "items")
     index = named.mapInArrow(invert, "item string, part long, docs binary, groups array<string>").persist()
     heads = sorted(index.filter("item is null").select("part", "docs", "groups").collect(), key=lambda r: r["part"])
@@ -271,19 +290,30 @@ def counts_of(r: np.ndarray, docs: np.ndarray, counts: np.ndarray) -> np.ndarray
     return np.add.reduceat(r[docs], np.cumsum(counts) - counts)
 
 
-def shares(block, n: int, asked: list[Asked], before: list) -> tuple[np.ndarray, np.ndarray]:
-    """Log weights (all runs' classes x records) from a block's columns, and each run's bound."""
+def shares(block, asked: list[Asked], before: list, z: np.ndarray) -> np.ndarray:
+    """Adds a block's columns' part to log weights (all runs' classes x records); returns each run's bound.
+
+    A class that no record is in has equal parameters for all columns, which are taken once.
+    """
     seeds, counts, times, docs = block
-    docs = docs.astype(np.intp)
-    z, bounds, at = np.empty((sum(m[0].shape[1] for m in asked), n)), np.zeros(len(asked)), 0
+    n = z.shape[1]
+    docs, means, sizes = docs.astype(np.intp), counts / n, None
+    bounds, at = np.zeros(len(asked)), 0
     for i, ((log_pi, rule), r) in enumerate(zip(asked, before)):
         for k in range(log_pi.shape[1]):
-            odds, base, bound = rule(k, None if r is None else counts_of(r[k], docs, counts), counts / n, seeds)
-            z[at] = np.bincount(docs, np.repeat(odds * times, counts), n)
-            z[at] += base @ times
-            bounds[i] += bound @ times
+            if r is not None and not r[k].any():
+                odds, base, bound = (v[0] for v in rule(k, np.zeros(1), means[:1], seeds[:1]))
+                sizes = np.bincount(docs, np.repeat(times, counts), n) if sizes is None else sizes
+                z[at] += odds * sizes
+                z[at] += base * times.sum()
+                bounds[i] += bound * times.sum()
+            else:
+                odds, base, bound = rule(k, None if r is None else counts_of(r[k], docs, counts), means, seeds)
+                z[at] += np.bincount(docs, np.repeat(odds * times, counts), n)
+                z[at] += base @ times
+                bounds[i] += bound @ times
             at += 1
-    return z, bounds
+    return bounds
 
 
 def shared_out(z: np.ndarray, g: np.ndarray, asked: list[Asked]) -> tuple[np.ndarray, np.ndarray]:
@@ -300,12 +330,18 @@ def shared_out(z: np.ndarray, g: np.ndarray, asked: list[Asked]) -> tuple[np.nda
 
 def one_pass(p: Wide, asked: list[Asked], before: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Responsibilities, sums and bounds."""
-    n = p.n_records
+    n, width = p.n_records, sum(m[0].shape[1] for m in asked)
     if p.held is not None:
+
+        def part(block):
+            z = np.zeros((width, n))
+            return z, shares(block, asked, before, z)
+
+        z, bounds = np.zeros((width, n)), np.zeros(len(asked))
         with ThreadPoolExecutor(4) as pool:
-            z, bounds = 0, 0
-            for mine, more in pool.map(lambda b: shares(b, n, asked, before), p.held):
-                z, bounds = z + mine, bounds + more
+            for mine, more in pool.map(part, p.held):
+                z += mine
+                bounds += more
         return *shared_out(z, p.g, asked), bounds
     sc = p.table.sparkSession.sparkContext
     sent = sc.broadcast((asked, before, p.g))
@@ -313,20 +349,14 @@ def one_pass(p: Wide, asked: list[Asked], before: list) -> tuple[np.ndarray, np.
     def run(batches):
         import pyarrow as pa
 
-        asked, before, g = sent.value
-        z = bounds = None
+        asked, before, _ = sent.value
+        z, bounds = np.zeros((width, n)), np.zeros(len(asked))
         for batch in batches:
-            for block in batch.to_pylist():
-                mine, more = shares(opened(block), n, asked, before)
-                if z is None:
-                    z, bounds = mine, more
-                else:
-                    z += mine
-                    bounds += more
-        if z is not None:
-            yield pa.RecordBatch.from_pydict({"at": pa.array([-1], pa.int32()), "v": [bounds.tobytes()]})
-            for at in range(0, n, RANGE):
-                yield pa.RecordBatch.from_pydict({"at": pa.array([at], pa.int32()), "v": [z[:, at : at + RANGE].tobytes()]})
+            for at in range(len(batch)):
+                bounds += shares(opened(batch.slice(at, 1).to_pylist()[0]), asked, before, z)
+        yield pa.RecordBatch.from_pydict({"at": pa.array([-1], pa.int32()), "v": [bounds.tobytes()]})
+        for at in range(0, n, RANGE):
+            yield pa.RecordBatch.from_pydict({"at": pa.array([at], pa.int32()), "v": [z[:, at : at + RANGE].tobytes()]})
 
     def added(table):
         import pyarrow as pa
@@ -344,7 +374,7 @@ def one_pass(p: Wide, asked: list[Asked], before: list) -> tuple[np.ndarray, np.
     rows = p.table.select("seeds", "counts", "times", "docs").mapInArrow(run, "at int, v binary")
     found = sorted(rows.groupBy("at").applyInArrow(added, "at int, v binary, sums binary").collect(), key=lambda r: r["at"])
     sent.destroy()
-    r = np.empty((sum(m[0].shape[1] for m in asked), n))
+    r = np.empty((width, n))
     for row in found[1:]:
         part = r[:, row["at"] : row["at"] + RANGE]
         part[:] = np.frombuffer(row["v"]).reshape(part.shape)
